@@ -6,11 +6,11 @@
    for each value of each block (with that block's bits moved to the front) sees every link. Inside a trie,
    pairs of nodes are walked together from the root, adding up differing bits; a pair of nodes is dropped as
    soon as the sum exceeds the budget. Each trie returns a spanning forest of its links (a row at most for
-   each class), never all pairs: no link between classes is lost for reachability.
+   each of its keys, or two for tiny tries), never all pairs: no link between classes is lost for reachability.
 3. ``classes``: connected components over all forests; a class id is the smallest document id.
 
 With n distinct fingerprints a trie holds about n / 2**(64 // (budget + 1)) of them; ``extra_blocks`` cuts the
-bits finer and asks for agreement in more blocks, for smaller tries at larger n.
+bits finer and asks for agreement in more blocks, for smaller tries at larger n (``finer`` picks it).
 """
 
 from __future__ import annotations
@@ -58,15 +58,18 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): a row for each input row; null text counts as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, the string columns ``keep``): a row for each input row; null text counts as empty, whose
+    fingerprint is zero. ``distinct``: repeated shingles of a text count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py() or "", width)) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            every = (shingle_hashes(t.as_py() or "", width) for t in b.column(1))
+            fps = np.fromiter((fingerprint(np.unique(h) if distinct else h) for h in every), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *(b.column(2 + i) for i in range(len(keep)))], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{k} string" for k in keep)]))
 
 
 def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
@@ -97,7 +100,10 @@ def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
         if single.any():
             i, j = al[single], bl[single]
             rest = keys[i] ^ keys[j]
-            linked = (np.bitwise_count(rest) <= budget) & (i != j)
+            linked = np.flatnonzero((np.bitwise_count(rest) <= budget) & (i != j))
+            if len(linked):  # what is connected by now needs no further link
+                roots = _flat(parent)
+                linked = linked[roots[i[linked]] != roots[j[linked]]]
             for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
                 x, y = find(x), find(y)
                 if x != y:
@@ -122,12 +128,15 @@ def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
             ok &= ~((a1 - a0 == 1) & (a0 == b0) & (a1 == b1))  # a leaf with itself
             parts.append(tuple(x[ok] for x in (a0, a1, b0, b1, d + more)))
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
-    roots = parent
+    return _flat(parent)
+
+
+def _flat(parent: np.ndarray) -> np.ndarray:
     while True:
-        up = roots[roots]
-        if (up == roots).all():
-            return roots
-        roots = up
+        up = parent[parent]
+        if (up == parent).all():
+            return up
+        parent = up
 
 
 def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -144,6 +153,12 @@ def _cuts(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def finer(n: int, budget: int, size: int = 1024) -> int:
+    """``extra_blocks`` for which n random fingerprints make tries of about ``size`` keys or fewer."""
+    bits = lambda e: sum(sorted(w for _, w in _cuts(budget + 1 + e))[: 1 + e])
+    return next((e for e in range(5) if n <= size << bits(e)), 5)
+
+
 def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0) -> DataFrame:
     """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget."""
     blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
@@ -190,6 +205,11 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0) -> DataFr
                 if int(own[0] ^ own[1]).bit_count() <= budget:
                     a.append(ids[:1]), b.append(ids[1:])
                 continue
+            if hi - lo <= 32:  # a trie of a few leaves: their pairs at once
+                near = np.argwhere(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= budget, 1))
+                if len(near):
+                    a.append(ids[near[:, 0]]), b.append(ids[near[:, 1]])
+                continue
             # Agreeing bits go last, so that the trie branches at once.
             mask = np.uint64(masks[tables[lo]])
             key = _compress(own, ~mask, mask)
@@ -227,7 +247,7 @@ def classes(docs: DataFrame, width: int = 3, budget: int = 3, extra_blocks: int
     Null text is empty; empty texts have fingerprint zero and link like any other. A null doc_id names no
     component: such a row gets the smallest id of its class, and null if its class has none and it has no links
     (its fingerprint then takes part in no link). Repeated rows get repeated results, an empty table an empty one."""
-    own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    own = written(fingerprints(docs, width, False, id_col, text_col), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
     label = components(trie_links(nodes, budget, extra_blocks))
     known = written(
