@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.shared import table
 
-LABELLED, POOL, ROUNDS = 4000, 8000, 4
+LABELLED, POOL, ROUNDS = 4000, 4000, 4
 TEXT, LANGS, SOURCES = 512, 16, 64
 NUMBERS = 9
 SURE, SHARE = 0.9, 0.05
@@ -86,15 +86,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
     """Weights and a last intercept by damped Newton steps; the intercept isn't penalised."""
-    x = np.c_[x.astype(np.float64), np.ones(len(x))]
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    w, penalty = np.zeros(n), np.full(n, ridge)
     penalty[-1] = 1e-6
-    loss = lambda v: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ v)).sum() + (penalty * v * v).sum() / 2)
+    parts = [slice(i, i + 512) for i in range(0, len(x), 512)]
+    wide = lambda s: np.c_[x[s].astype(np.float64), np.ones(len(x[s]))]  # noqa: E731  a few rows at a time in double precision
+    times = lambda v: np.concatenate([wide(s) @ v for s in parts])
+    loss = lambda v: float(np.logaddexp(0, np.where(y > 0, -1, 1) * times(v)).sum() + (penalty * v * v).sum() / 2)
     now = loss(w)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
+        gradient, curve = penalty * w, np.diag(penalty)
+        for s in parts:
+            own = wide(s)
+            p = sigmoid(own @ w)
+            gradient += own.T @ (p - y[s])
+            curve += (own * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ own
+        step = np.linalg.solve(curve, gradient)
         size = 1.0
         while (new := loss(w - size * step)) > now and size > 1e-3:
             size /= 2
@@ -136,7 +143,7 @@ def fit(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = ROUN
         return Model([], [], [], [], np.zeros(3), float(labels.mean()) if len(labels) else 1.0)
     center = [v.mean(axis=0) for v in x]
     scale = [np.maximum(v.std(axis=0), 1e-3) for v in x]
-    x = [(v - c) / s for v, c, s in zip(x, center, scale, strict=True)]
+    x = [((v - c) / s).astype(np.float32) for v, c, s in zip(x, center, scale, strict=True)]
     pool = np.flatnonzero(y < 0)
     labels = [y.copy(), y.copy()]  # each view's own training labels
     prior = float(y[known].mean())
@@ -183,11 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 rest = [b.column(i).slice(part.start, n) for i in (3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*rest, *(x.cast(pa.binary()) for x in lists)], ["id", "y", "h", "t", "m"])
 
-    found = rows.select("text", "lang", "source", "id", "y", "h").mapInArrow(run, "id long, y int, h long, t binary, m binary").toPandas()
-    found = found.sort_values(["h", "id", "t"], kind="stable").drop_duplicates("id")
-    if found.empty:
-        return fit([np.zeros((0, TEXT + 1)), np.zeros((0, LANGS + SOURCES + NUMBERS))], np.empty(0, int), np.empty(0, bool), rounds)
-    x = [np.frombuffer(b"".join(found[k]), np.float32).reshape(len(found), -1) for k in ("t", "m")]
+    found = rows.select("text", "lang", "source", "id", "y", "h").mapInArrow(run, "id long, y int, h long, t binary, m binary").toArrow()
+    found = found.sort_by([(k, "ascending") for k in ("h", "id", "t")])
+    ids = found["id"].to_numpy()
+    found = found.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]][: len(ids)]))  # one row for each document
+    widths = {"t": TEXT + 1, "m": LANGS + SOURCES + NUMBERS}
+    x = [np.frombuffer(b"".join(found[k].to_pylist()), np.float32).reshape(-1, n) for k, n in widths.items()]
     y = found["y"].to_numpy()
     held = (y >= 0) & (np.cumsum(y >= 0) % 4 == 0)
     return fit(x, y, held, rounds)
