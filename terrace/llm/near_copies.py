@@ -1,13 +1,15 @@
 """Near copies of whole texts: candidates by the SimHash trie join, links by exact Jaccard similarity.
 
-The fingerprint is over a text's distinct words, whose few changed bits hold for copies whose word shingles are
-similar by 0.8 (of such pairs 98.7 % lie within the budget of 7 bits, as measured; other texts hardly ever do). A
-link is a pair within the budget whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity``
-or more; a group is a connected component of links. Exact copies are one text throughout.
-
-Candidates meet only inside the tries' components. A component of up to ``small`` texts is one task's group. In a larger
-one, links are followed outwards from its smallest text, round by round: each round compares only what was reached
-last with what is not reached yet, in joins whose hot side may be split.
+The trie join is over fingerprints of distinct words, of which copies whose word shingles are similar by 0.8 change
+few bits (99.6 % of such pairs lie within the budget of 8, as measured); a second fingerprint, of the shingles
+themselves, must agree within ``WITHIN`` bits too, which keeps texts apart that only share vocabulary. A link is such
+a pair whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is a
+connected component of links. Exact copies are one text throughout.
+
+Candidates meet only inside the tries' components. A component is dealt to blocks of about ``block`` texts, and each
+pair of its blocks is one unit of work with bounded memory: it checks fingerprints, then a sketch of the shingles, and
+the sets themselves only where neither rules the pair out nor other links connect it already. It returns a spanning
+forest of its links. Most components are a single block.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.components import components
-from terrace.llm.shared import written
-from terrace.llm.simhash_trie import finer, fingerprints, shingle_hashes, trie_links
+from terrace.llm.shared import partitions, written
+from terrace.llm.simhash_trie import finer, fingerprint, shingle_hashes, trie_links
 
-WIDTH, SIMILARITY, BUDGET, SMALL = 5, 0.8, 7, 512
+WIDTH, SIMILARITY, BUDGET, WITHIN, BLOCK = 5, 0.8, 8, 17, 1024
 #: Digests that are broadcast at most (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -37,66 +39,87 @@ def _digest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
-def _small_groups(budget: int, similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "digest"], na_position="last", kind="stable")
-        fps, sets = pdf["fp"].to_numpy().view(np.uint64), [np.asarray(x) for x in pdf["shingles"]]
-        root = np.arange(len(fps))
-        for i in range(len(fps)):
-            for j in (i + 1 + np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= budget)).tolist():
-                if root[i] == root[j]:
+def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, fp, second) of (doc_id, text, digest): SimHash of distinct words and of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [[], []]
+            for t in b.column(1):
+                for out, n in zip(fps, (1, width), strict=True):
+                    out.append(fingerprint(np.unique(shingle_hashes(t.as_py() or "", n))))
+            fps = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps], ["doc_id", "digest", "fp", "second"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, "doc_id long, digest string, fp long, second long")
+
+
+BINS = 128
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least hash in each of 128 ranges of hashes; the largest number where there is none."""
+    h = shingles.view(np.uint64)
+    out = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, (h >> np.uint64(57)).astype(np.int64), h)
+    return out
+
+
+def _block_links(budget: int, within: int, similarity: float):
+    """A spanning forest of the links between two blocks of a component, or inside one."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, left, right = key
+        pdf = pdf.sort_values("id", kind="stable")
+        fps, second = (pdf[k].to_numpy().view(np.uint64) for k in ("fp", "second"))
+        sets = [np.asarray(x, np.int64) for x in pdf["shingles"]]
+        ids, size = pdf["id"].to_numpy(), np.array([len(x) for x in sets])
+        sketch = np.stack([_sketch(x) for x in sets])
+        used = sketch != np.iinfo(np.uint64).max
+        block = pdf["block"].to_numpy()
+        root, a, b = np.arange(len(ids)), [], []
+        for i in range(len(ids)):
+            j = np.flatnonzero((np.bitwise_count(fps[i] ^ fps) <= budget) & (np.bitwise_count(second[i] ^ second) <= within))
+            j = j[(j > i) & (root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+            if left != right:
+                j = j[block[j] != block[i]]
+            if not len(j):
+                continue
+            # The sketch's share of equal ranges estimates the similarity; five deviations below it, a pair is none.
+            either = used[i] | used[j]
+            n = np.maximum(1, either.sum(axis=1))
+            share = ((sketch[j] == sketch[i]) & either).sum(axis=1) / n
+            likely = j[(share >= similarity - 5 * np.sqrt(similarity * (1 - similarity) / n)) | ~either.any(axis=1)]
+            for k in likely.tolist():
+                if root[k] == root[i]:
                     continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
-                    root[root == max(root[i], root[j])] = min(root[i], root[j])
-        return pd.DataFrame({"digest": pdf["digest"], "label": pdf["digest"].to_numpy()[root]})
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if common >= similarity * (size[i] + size[k] - common):
+                    a.append(ids[i]), b.append(ids[k])
+                    root[root == max(root[i], root[k])] = min(root[i], root[k])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
 
-def _large_groups(rows: DataFrame, budget: int, similarity: float, small: int) -> tuple[DataFrame | None, DataFrame]:
-    """(digest, label) of texts reached in components of over ``small`` texts, and the rows left for grouped tasks."""
-    labelled, rest = None, rows
-    while True:
-        sizes = rest.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("first").isNull(), "first", "digest"))["digest"].alias("label")).where(f"n > {small}")
-        sizes = written(sizes, "large-components")
-        if sizes.isEmpty():
-            return labelled, rest
-        large = rest.join(sizes, "component")
-        new = written(large.where("digest = label").drop("n"), "reached")
-        open_ = written(large.where("digest != label").drop("n"), "open")
-        rest = rest.join(sizes, "component", "left_anti")
-        while not new.isEmpty():
-            out = new.select("digest", "label")
-            labelled = out if labelled is None else labelled.unionByName(out)
-            a, b = open_.alias("a"), new.alias("b")
-            common = F.size(F.array_intersect("a.shingles", "b.shingles"))
-            met = F.expr(f"a.component = b.component and bit_count(a.fp ^ b.fp) <= {budget}") & (
-                common >= similarity * (F.size("a.shingles") + F.size("b.shingles") - common)
-            )
-            reached = a.join(b, met, "left_semi").select("digest").distinct()
-            reached = written(reached, "reached-names")
-            new, open_ = written(open_.join(reached, "digest", "left_semi"), "reached"), written(open_.join(reached, "digest", "left_anti"), "open")
-        rest = written(rest.unionByName(open_.select(*rest.columns)), "rest")
-
-
-def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, budget: int = BUDGET, small: int = SMALL) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """``docs`` (doc_id and text among its columns) with one row of each group: that with the smallest doc_id.
 
     Null text is empty; all empty texts are one group. A null id comes after all others; of repeated rows one stays.
     An empty table gives an empty result. All columns are kept as they are."""
     marked = _digest(docs)
     own = marked.select("doc_id", "text", F.col("__digest").alias("digest"))
-    own = written(fingerprints(own, 1, True, keep=("digest",)), "fingerprints")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    own = written(_fingerprints(own, width), "fingerprints")
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("second").alias("second"), F.count(F.lit(1)).alias("n"))
     texts = written(texts, "texts")
-    nodes = written(texts.select(F.col("fp").alias("node"), "fp").distinct(), "nodes")
-    label = components(trie_links(nodes, budget, finer(nodes.count(), budget)))
-    placed = texts.join(label, texts["fp"] == label["node"], "left").select("digest", "first", "fp", F.coalesce("component", "fp").alias("component"))
+    # Texts with the same first fingerprint are one node.
+    nodes = written(texts.groupBy("fp").agg(F.min("second").alias("second")).withColumn("node", F.col("fp")), "nodes")
+    label = components(trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN))
+    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", "fp", "second", F.coalesce("component", "fp").alias("component"))
     placed = written(placed, "placed")
     several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     candidates = written(placed.join(several, "component"), "candidates")
-    labels = _labels(marked, candidates, width, similarity, budget, small)
+    labels = _labels(marked, candidates, width, similarity, budget, block)
 
     order = F.struct(F.col("first").isNull(), "first", "digest")
     kept = labels.join(candidates, "digest").groupBy("label").agg(F.min(order)["digest"].alias("digest"))
@@ -118,20 +141,30 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     return joined.where(~repeated).select(*docs.columns).unionByName(joined.where(repeated).dropDuplicates(["__digest"]).select(*docs.columns))
 
 
-def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: float, budget: int, small: int) -> DataFrame:
-    """(digest, label) of all candidates, label being the digest of the group's first text."""
-    n = candidates.count()
+def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: float, budget: int, block: int) -> DataFrame:
+    """(digest, label) of all candidates; texts of one group have the same label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 5)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "first", "fp", "component", "shingles"])
-
-    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "component")
-    picked = marked.join(_few(wanted, n), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
-    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "first", "fp", "component")
-    rows = rows.mapInArrow(run, "digest string, first long, fp long, component long, shingles array<long>")
-    rows = written(written(rows, "shingles").dropDuplicates(["digest"]), "shingle-sets")
-    large, rest = _large_groups(rows, budget, similarity, small)
-    labels = rest.groupBy("component").applyInPandas(_small_groups(budget, similarity), "digest string, label string")
-    return written(labels if large is None else labels.unionByName(large), "labels")
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 5)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "fp", "second", "component", "shingles"])
+
+    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "second", "component")
+    picked = marked.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
+    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "fp", "second", "component")
+    rows = written(rows.mapInArrow(run, "digest string, fp long, second long, component long, shingles array<long>"), "shingles")
+    # The number is made once, and written.
+    rows = written(rows.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.expr(f"cast(ceil(n / {block}) as int)")
+    dealt = rows.join(written(sizes.withColumn("blocks", blocks).drop("n"), "component-sizes"), "component")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # A row for each pair of blocks, each with itself included.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "fp", "second", "shingles"
+    )
+    n = max(partitions(marked.sparkSession), 2 * marked.sparkSession.sparkContext.defaultParallelism)
+    links = dealt.repartition(n, "component", "left", "right").groupBy("component", "left", "right").applyInPandas(_block_links(budget, WITHIN, similarity), "a long, b long")
+    label = components(written(links, "copy-links")).withColumnRenamed("component", "component_")
+    return written(rows.join(label, rows["id"] == label["node"], "left").select("digest", F.coalesce("component_", "id").alias("label")), "labels")

@@ -3,10 +3,10 @@
 1. ``fingerprints``: 64-bit SimHash of word shingles, computed batch by batch.
 2. ``trie_links``: documents with equal fingerprints are one class. The 64 bits are cut into ``budget + 1``
    blocks; two fingerprints that differ in at most ``budget`` bits agree in at least one block, so one trie
-   for each value of each block (with that block's bits moved to the front) sees every link. Inside a trie,
-   pairs of nodes are walked together from the root, adding up differing bits; a pair of nodes is dropped as
-   soon as the sum exceeds the budget. Each trie returns a spanning forest of its links (a row at most for
-   each of its keys, or two for tiny tries), never all pairs: no link between classes is lost for reachability.
+   for each block (with that block's bits moved to the front), cut into subtrees by those bits, sees every link. In a
+   subtree, pairs of nodes are walked together from the root, adding up differing bits; a pair of nodes is dropped as
+   soon as the sum exceeds the budget. Each subtree returns a spanning forest of its links (a row at most for
+   each of its keys), never all pairs: no link between classes is lost for reachability.
 3. ``classes``: connected components over all forests; a class id is the smallest document id.
 
 With n distinct fingerprints a trie holds about n / 2**(64 // (budget + 1)) of them; ``extra_blocks`` cuts the
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm.components import components
-from terrace.llm.shared import table, written
+from terrace.llm.shared import partitions, table, written
 
 SEED = 42
 #: Hashes that are turned into bits at once.
@@ -58,27 +58,25 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp long, the string columns ``keep``): a row for each input row; null text counts as empty, whose
-    fingerprint is zero. ``distinct``: repeated shingles of a text count once."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long): a row for each input row; null text counts as empty, whose fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = (shingle_hashes(t.as_py() or "", width) for t in b.column(1))
-            fps = np.fromiter((fingerprint(np.unique(h) if distinct else h) for h in every), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *(b.column(2 + i) for i in range(len(keep)))], ["doc_id", "fp", *keep])
+            fps = np.fromiter((fingerprint(shingle_hashes(t.as_py() or "", width)) for t in b.column(1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{k} string" for k in keep)]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
-    """For sorted distinct 64-bit keys, each key's root (an index) in a spanning forest of the links.
+def _walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int, budget: int, second: np.ndarray | None = None, within: int = 0) -> np.ndarray:
+    """For sorted distinct 64-bit keys, each key's root (an index) in a spanning forest of the links in some subtrees.
+    ``second``: other fingerprints of the same keys, which must differ in ``within`` bits or fewer too.
 
-    A node is a range of keys that share a prefix; node pairs are taken from a stack in slices, so memory is
-    bounded by the slice and the depth, however many pairs there are."""
-    n = len(keys)
-    parent = np.arange(n)
+    A node is a range of keys that share the bits above ``bit``; the subtrees [lo, hi) are walked together, each
+    with itself. Node pairs are taken from a stack in slices, so memory is bounded by the slice and the depth,
+    however many pairs there are."""
+    parent = np.arange(len(keys))
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -88,7 +86,7 @@ def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
 
     limit = 1 << 16
     # (bit, a_lo, a_hi, b_lo, b_hi, differing bits): all pairs of one entry stand at the same depth.
-    stack = [(63, *(np.array([x]) for x in (0, n, 0, n, 0)))]
+    stack = [(bit, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
         bit, al, ah, bl, bh, d = stack.pop()
         if len(al) > limit:
@@ -99,9 +97,10 @@ def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
         single = (ah - al == 1) & (bh - bl == 1)
         if single.any():
             i, j = al[single], bl[single]
-            rest = keys[i] ^ keys[j]
-            linked = np.flatnonzero((np.bitwise_count(rest) <= budget) & (i != j))
-            if len(linked):  # what is connected by now needs no further link
+            linked = np.flatnonzero((np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j))
+            if second is not None:
+                linked = linked[np.bitwise_count(second[i[linked]] ^ second[j[linked]]) <= within]
+            if len(linked) > 4096:  # what is connected by now needs no further link
                 roots = _flat(parent)
                 linked = linked[roots[i[linked]] != roots[j[linked]]]
             for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
@@ -111,21 +110,17 @@ def _walk(keys: np.ndarray, budget: int) -> np.ndarray:
             al, ah, bl, bh, d = (x[~single] for x in (al, ah, bl, bh, d))
         if not len(al):
             continue
-        if bit < 0:
-            raise AssertionError("distinct keys end in single leaves")
         am, bm = _split(keys, al, ah, bit), _split(keys, bl, bh, bit)
         same = (al == bl) & (ah == bh)
         parts = []
         for a0, a1, b0, b1, more, keep in (
-            (al, am, bl, bm, 0, None),
-            (am, ah, bm, bh, 0, None),
-            (al, am, bm, bh, 1, None),
+            (al, am, bl, bm, 0, True),
+            (am, ah, bm, bh, 0, True),
+            (al, am, bm, bh, 1, True),
             (am, ah, bl, bm, 1, ~same),  # a node with itself: its children meet once
         ):
-            ok = (a1 > a0) & (b1 > b0) & (d + more <= budget)
-            if keep is not None:
-                ok &= keep
-            ok &= ~((a1 - a0 == 1) & (a0 == b0) & (a1 == b1))  # a leaf with itself
+            # Pairs over the budget go, and so does a leaf with itself.
+            ok = (a1 > a0) & (b1 > b0) & (d + more <= budget) & keep & ~((a1 - a0 == 1) & (a0 == b0) & (a1 == b1))
             parts.append(tuple(x[ok] for x in (a0, a1, b0, b1, d + more)))
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
     return _flat(parent)
@@ -153,23 +148,25 @@ def _cuts(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def finer(n: int, budget: int, size: int = 1024) -> int:
-    """``extra_blocks`` for which n random fingerprints make tries of about ``size`` keys or fewer."""
+def finer(n: int, budget: int, size: int = 128) -> int:
+    """``extra_blocks`` for which n random fingerprints make subtrees of about ``size`` keys or fewer."""
     bits = lambda e: sum(sorted(w for _, w in _cuts(budget + 1 + e))[: 1 + e])
     return next((e for e in range(5) if n <= size << bits(e)), 5)
 
 
-def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0) -> DataFrame:
-    """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget."""
+def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: int | None = None) -> DataFrame:
+    """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget.
+    With ``within``, a column ``second`` (long) must differ in so many bits or fewer too."""
     blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
     cuts = _cuts(blocks)
 
     def tagged(k: int, chosen: tuple[int, ...]) -> list:
         return [F.lit(k)] + [F.shiftrightunsigned("fp", cuts[c][0]).bitwiseAND((1 << cuts[c][1]) - 1) for c in chosen]
 
-    # The trie's name: which blocks agree and their value. Its keys need no rotation: the agreeing bits add no difference.
+    # A subtree's name: which blocks agree and their value.
     names = F.array(*(F.xxhash64(*tagged(k, c)) for k, c in enumerate(combinations(range(blocks), agree))))
-    rows = fps.select("node", "fp", F.posexplode(names).alias("table", "name"))
+    more = [] if within is None else ["second"]
+    rows = fps.select("node", "fp", *more, F.posexplode(names).alias("table", "name"))
     masks = [sum(((1 << cuts[i][1]) - 1) << cuts[i][0] for i in c) for c in combinations(range(blocks), agree)]
 
     def join_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,40 +190,33 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0) -> DataFr
             yield from done(pd.concat(held))
 
     def done(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        names_, tables = pdf["name"].to_numpy(), pdf["table"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, (names_[1:] != names_[:-1]) | (tables[1:] != tables[:-1]), True])
+        tables = pdf["table"].to_numpy()
         node, fp = pdf["node"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        a, b = [], []
+        edge = np.flatnonzero(np.r_[True, tables[1:] != tables[:-1], True])
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            own, ids = fp[lo:hi], node[lo:hi]
-            if hi - lo == 2:
-                if int(own[0] ^ own[1]).bit_count() <= budget:
-                    a.append(ids[:1]), b.append(ids[1:])
-                continue
-            if hi - lo <= 32:  # a trie of a few leaves: their pairs at once
-                near = np.argwhere(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= budget, 1))
-                if len(near):
-                    a.append(ids[near[:, 0]]), b.append(ids[near[:, 1]])
-                continue
-            # Agreeing bits go last, so that the trie branches at once.
-            mask = np.uint64(masks[tables[lo]])
-            key = _compress(own, ~mask, mask)
+            # One trie for the table: the agreeing bits lead, and pairs start at the nodes below them.
+            mask = masks[tables[lo]]
+            key = _compress(fp[lo:hi], mask, ~mask & (1 << 64) - 1)
             order = np.argsort(key)
-            ids, roots = ids[order], _walk(key[order], budget)
+            key, ids = key[order], node[lo:hi][order]
+            rest = 64 - mask.bit_count()
+            top = key >> np.uint64(rest)
+            starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            many = ends - starts > 1
+            second = None if within is None else pdf["second"].to_numpy().view(np.uint64)[lo:hi][order]
+            roots = _walk(key, starts[many], ends[many], rest - 1, budget, second, within or 0)
             member = roots != np.arange(len(roots))
-            a.append(ids[roots[member]]), b.append(ids[member])
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            yield pd.DataFrame({"a": ids[roots[member]], "b": ids[member]})
 
-    return rows.repartition("table", "name").sortWithinPartitions("table", "name").mapInPandas(join_tries, "a long, b long")
+    n = max(partitions(fps.sparkSession), 2 * fps.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, "table", "name").sortWithinPartitions("table", "name").mapInPandas(join_tries, "a long, b long")
 
 
-def _compress(fp: np.ndarray, first: np.uint64, last: np.uint64) -> np.ndarray:
+def _compress(fp: np.ndarray, first: int, last: int) -> np.ndarray:
     """The bits under ``first``, in their order, before those under ``last``."""
     out = np.zeros(len(fp), np.uint64)
-    for mask in (int(first), int(last)):
+    for mask in (first, last):
         bit = 64
         while bit:  # a run of mask bits at a time
             bit -= 1
@@ -247,7 +237,7 @@ def classes(docs: DataFrame, width: int = 3, budget: int = 3, extra_blocks: int
     Null text is empty; empty texts have fingerprint zero and link like any other. A null doc_id names no
     component: such a row gets the smallest id of its class, and null if its class has none and it has no links
     (its fingerprint then takes part in no link). Repeated rows get repeated results, an empty table an empty one."""
-    own = written(fingerprints(docs, width, False, id_col, text_col), "fingerprints")
+    own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
     label = components(trie_links(nodes, budget, extra_blocks))
     known = written(
