@@ -1,0 +1,150 @@
+"""Repeat-sales pairs, filters, half-pairs and their summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from terrace.config import Settings
+from terrace.functions.scalars import cagr, price_relative, years_between
+
+DESCRIBE = ("n", "mean", "std", "min", "p25", "median", "p75", "max")
+
+
+def repeat_sales(transactions: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
+    """Consecutive sales of each property, with the first sale's tract: one shuffle, no join."""
+    w = Window.partitionBy("property_id").orderBy("transaction_date", tiebreak)
+    later = lambda c: F.lead(c).over(w)
+    both = transactions.select(
+        "property_id", "census_tract", "cbsa_code", "distance_to_cbd",
+        F.col("transaction_date").alias("sale_date_1"), later("transaction_date").alias("sale_date_2"),
+        F.col("transaction_price").alias("sale_price_1"), later("transaction_price").alias("sale_price_2"),
+    ).where("sale_date_2 is not null")
+    p1, p2, d1, d2 = (F.col(c) for c in ("sale_price_1", "sale_price_2", "sale_date_1", "sale_date_2"))
+    years = years_between(d1, d2)
+    return both.withColumns({"price_relative": price_relative(p1, p2), "time_diff_years": years, "cagr": cagr(p1, p2, years)})
+
+
+def minimum_days(pairs: DataFrame, days: int) -> DataFrame:
+    return pairs.where(F.datediff("sale_date_2", "sale_date_1") >= days)
+
+
+def _rules(s: Settings) -> dict[str, Column]:
+    ratio = F.col("sale_price_2") / F.expr("nullif(sale_price_1, 0)")
+    rules = {"same_period": F.year("sale_date_1") != F.year("sale_date_2")}
+    if s.min_days:
+        rules["min_days"] = F.datediff("sale_date_2", "sale_date_1") >= s.min_days
+    return rules | {"cagr": F.abs("cagr") <= s.max_cagr, "cumulative": ratio.between(s.min_ratio, s.max_ratio)}
+
+
+def apply_filters(pairs: DataFrame, s: Settings) -> DataFrame:
+    for rule in _rules(s).values():
+        pairs = pairs.where(rule)
+    return pairs
+
+
+def filter_audit(pairs: DataFrame, s: Settings) -> DataFrame:
+    """(step, name, rows_in, rows_out, pct_removed) of each filter, in one pass."""
+    kept, counts, so_far = [], [F.count(F.lit(1)).alias("n0")], F.lit(True)
+    for i, (name, rule) in enumerate(_rules(s).items(), 1):
+        so_far = so_far & F.coalesce(rule, F.lit(False))
+        counts.append(F.count_if(so_far).alias(f"n{i}"))
+        kept.append(f"{i}, '{name}', n{i - 1}, n{i}")
+    steps = pairs.agg(*counts).selectExpr(f"stack({len(kept)}, {', '.join(kept)}) as (step, name, rows_in, rows_out)")
+    return steps.withColumn("pct_removed", F.coalesce(100.0 * (F.col("rows_in") - F.col("rows_out")) / F.expr("nullif(rows_in, 0)"), F.lit(0.0)))
+
+
+def zscore_filter(df: DataFrame, column: str, threshold: float = 3.0, by: list[str] | None = None) -> DataFrame:
+    """Rows within ``threshold`` sample deviations of the mean (of their group). Moments are aggregated, then joined."""
+    moments = df.groupBy(*(by or [])).agg(F.avg(column).alias("__mean"), F.stddev_samp(column).alias("__std"))
+    joined = df.join(moments, by) if by else df.crossJoin(F.broadcast(moments))  # a single row without groups
+    z = F.abs(F.col(column) - F.col("__mean")) / F.expr("nullif(__std, 0)")
+    return joined.where(F.coalesce(z <= threshold, F.lit(True))).select(*df.columns)
+
+
+def clean(transactions: DataFrame, least: float = 0.0, most: float = 1e8, first: str = "1975-01-01", last: str = "2021-12-31", tiebreak: str = "tiebreak") -> DataFrame:
+    """Without nulls and values out of range; the first row of each property and day."""
+    own = transactions.dropna(subset=["property_id", "transaction_date", "transaction_price", "census_tract", "cbsa_code"])
+    own = own.where((F.col("transaction_price") > least) & (F.col("transaction_price") < most) & F.col("transaction_date").between(first, last))
+    w = Window.partitionBy("property_id", "transaction_date").orderBy(tiebreak)
+    return own.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def time_variables(pairs: DataFrame, base_year: int) -> DataFrame:
+    """Years, quarters, year offsets and a dense quarter index over both ends."""
+    q = lambda d: F.year(d) * 4 + F.quarter(d) - 1
+    own = pairs.withColumns({
+        "year_1": F.year("sale_date_1"), "year_2": F.year("sale_date_2"), "quarter_1": F.quarter("sale_date_1"), "quarter_2": F.quarter("sale_date_2"),
+        "offset_1": F.year("sale_date_1") - base_year, "offset_2": F.year("sale_date_2") - base_year, "__q1": q("sale_date_1"), "__q2": q("sale_date_2"),
+    })
+    # Ranked over the distinct quarters, a few hundred, and not over the pairs.
+    seen = own.select(F.explode(F.array("__q1", "__q2")).alias("q")).distinct().withColumn("i", F.dense_rank().over(Window.orderBy("q")))
+    a, b = (F.broadcast(seen.select(F.col("q").alias(f"__q{k}"), F.col("i").alias(f"period_{k}"))) for k in (1, 2))
+    return own.join(a, "__q1").join(b, "__q2").drop("__q1", "__q2")
+
+
+def half_pairs(pairs: DataFrame) -> DataFrame:
+    """Ends of filtered pairs by tract, CBSA and year."""
+    ends = pairs.select("census_tract", "cbsa_code", F.explode(F.array(F.year("sale_date_1"), F.year("sale_date_2"))).alias("year"))
+    return ends.groupBy("census_tract", "cbsa_code", "year").agg(F.count(F.lit(1)).alias("total_half_pairs"))
+
+
+def half_pairs_by_position(transactions: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
+    """Each sale's half-pairs: 0 if it is the only one, 1 at both ends, 2 between."""
+    w = Window.partitionBy("property_id")
+    position, n = F.row_number().over(w.orderBy("transaction_date", tiebreak)), F.count(F.lit(1)).over(w)
+    own = transactions.select("property_id", "census_tract", "transaction_date", tiebreak, position.alias("position"), n.alias("n"))
+    halves = F.when(F.col("n") == 1, 0).when((F.col("position") == 1) | (F.col("position") == F.col("n")), 1).otherwise(2)
+    return own.withColumn("half_pairs", halves)
+
+
+def half_pair_grid(halves: DataFrame, tracts: DataFrame, first: int, last: int) -> DataFrame:
+    """A row for each tract and year, zero where there are none; tracts x years, not tracts x tracts."""
+    grid = tracts.select("census_tract", "cbsa_code").distinct().withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    own = grid.join(halves, ["census_tract", "cbsa_code", "year"], "left")
+    return own.withColumn("total_half_pairs", F.coalesce("total_half_pairs", F.lit(0).cast("long")))
+
+
+def tract_summary(grid: DataFrame) -> DataFrame:
+    n = F.col("total_half_pairs")
+    return grid.groupBy("census_tract").agg(F.sum(n).alias("total"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(n > 0).alias("periods"))
+
+
+def sparse_tracts(grid: DataFrame, least: int) -> DataFrame:
+    return grid.where(F.col("total_half_pairs") < least)
+
+
+def two_year_minimum(grid: DataFrame) -> DataFrame:
+    """The smaller of this year's and last year's half-pairs, from the second year on."""
+    before = F.lag("total_half_pairs").over(Window.partitionBy("census_tract", "cbsa_code").orderBy("year"))
+    return grid.withColumn("before", before).where("before is not null").select("census_tract", "cbsa_code", "year", F.least("total_half_pairs", "before").alias("min_half_pairs"))
+
+
+def describe(column: str) -> list[Column]:
+    """Count, moments and interpolated quartiles."""
+    q = lambda p: F.percentile(column, F.lit(p))
+    values = (F.count(column), F.avg(column), F.stddev_samp(column), F.min(column), q(0.25), q(0.5), q(0.75), F.max(column))
+    return [v.alias(n) for v, n in zip(values, DESCRIBE, strict=True)]
+
+
+def pair_statistics(pairs: DataFrame) -> DataFrame:
+    """One row of figures on a table of pairs."""
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("property_id").alias("n_properties"), F.countDistinct("census_tract").alias("n_tracts"),
+        F.countDistinct("cbsa_code").alias("n_cbsas"), F.avg("price_relative").alias("mean_relative"), F.percentile("price_relative", F.lit(0.5)).alias("median_relative"),
+        F.stddev_samp("price_relative").alias("std_relative"), F.avg("time_diff_years").alias("mean_years"), F.avg("cagr").alias("mean_cagr"),
+        F.min("sale_date_1").alias("first_date"), F.max("sale_date_2").alias("last_date"),
+    )
+
+
+def price_relative_summary(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return pairs.groupBy(*(by or [])).agg(*describe("price_relative"))
+
+
+def period_pair_panel(pairs: DataFrame, first: int, last: int) -> DataFrame:
+    """Pairs between each two years, zeros included."""
+    spark = pairs.sparkSession
+    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year_1"))
+    grid = years.withColumn("year_2", F.explode(F.sequence(F.lit(first), F.lit(last)))).where("year_2 > year_1")
+    found = pairs.groupBy(F.year("sale_date_1").alias("year_1"), F.year("sale_date_2").alias("year_2")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return grid.join(F.broadcast(found), ["year_1", "year_2"], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long")))
