@@ -151,8 +151,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
     order = write_tokens(docs, folder, path)
     # Files of attempts that failed are not in the order table.
     named = order.select("file").distinct()
+    # The order table is small as a file and large in memory: it is never broadcast.
     files = file_sizes(spark, folder).join(named, "file", "left_semi")
-    return stitch(scan_blocks(files, folder, SEPARATOR, block_ids)).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated")
+    return stitch(scan_blocks(files, folder, SEPARATOR, block_ids)).join(order.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated")
 
 
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
