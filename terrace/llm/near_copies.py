@@ -150,7 +150,8 @@ def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: fl
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 5)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "fp", "second", "component", "shingles"])
 
     wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "second", "component")
-    picked = marked.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
+    own = marked.select("doc_id", "text", "__digest")  # other columns may have any names
+    picked = own.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
     rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "fp", "second", "component")
     rows = written(rows.mapInArrow(run, "digest string, fp long, second long, component long, shingles array<long>"), "shingles")
     # The number is made once, and written.

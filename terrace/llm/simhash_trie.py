@@ -157,6 +157,8 @@ def finer(n: int, budget: int, size: int = 128) -> int:
 def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: int | None = None) -> DataFrame:
     """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget.
     With ``within``, a column ``second`` (long) must differ in so many bits or fewer too."""
+    if budget < 1:
+        raise ValueError("a budget is one bit or more; equal fingerprints are one node")
     blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
     cuts = _cuts(blocks)
 
