@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 #: Words kept between batches; beyond it the memory starts anew.
 MOST_WORDS = 200_000
+#: Special tokens, and the marks that compose with the small form of a letter (h, j, t, w, y) but not with its capital:
+#: the tokenizer composes before it lower-cases.
+LEFT_ALONE = "<\\||[\u0308\u030a\u030c\u0331\u0344]"
 #: Words in one call.
 TOGETHER = 2000
 
@@ -66,7 +69,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, the n + 1 borders between texts); null counts as empty."""
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        if not pc.any(pc.match_substring_regex(texts, LEFT_ALONE)).as_py():
             # None of this changes ids: the tokenizer lower-cases, and splits letters from what isn't a letter, digit or
             # apostrophe. It makes fewer distinct words. Texts that may hold special tokens stay as they are.
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([,.;:!?%&*#$|]+)", "\\1 \\2")

@@ -48,6 +48,19 @@ def test_packing(docs):
     assert histogram_packing.pack(docs.where("false")).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(word_ids.default_path())
+    texts = ["H\u0331 T\u0308 h\u0331", "J\u030cA. T\u0344;b", "ÉÀ, Ärger. İ;K Σ? ΑΣ. ΑΣ", "it's. CAN'T! a<b", None, "", "<|endoftext|>.A", " \n".join(f"w{i}x." for i in range(300)), "again w7x. É"] * 2
+    for parts in ([[t] for t in texts], [texts]):
+        own = word_ids.WordEncoder(word_ids.default_path())
+        for part in parts:
+            ids, edges = own.encode(pa.array(part, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
 def test_pack_histogram_places_all():
     rng = np.random.default_rng(3)
     counts = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 2049), 500, replace=False), rng.integers(1, 50, 500), strict=True)}
