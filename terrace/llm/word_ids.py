@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept between batches; beyond it the memory starts anew.
-MOST_WORDS = 200_000
+#: Words of one generation; those not used again while the next one fills up are forgotten.
+MOST_WORDS = 150_000
 #: Special tokens, and the marks that compose with the small form of a letter (h, j, t, w, y) but not with its capital:
 #: the tokenizer composes before it lower-cases.
 LEFT_ALONE = "<\\||[\u0308\u030a\u030c\u0331\u0344]"
@@ -37,6 +37,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         # A special token of the file, between words that don't hold it, tells their ids apart.
         self._mark, self._mark_id = next(((t.content, i) for i, t in sorted(self._tokenizer.get_added_tokens_decoder().items()) if t.special), (None, None))
 
@@ -59,12 +60,14 @@ class WordEncoder:
                 self._known[w] = data[4 * (lo + 1) : 4 * hi]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > MOST_WORDS:
-            self._known.clear()
-            new = words
-        self._learn(new)
-        return [self._known[w] for w in words]
+        known, before = self._known, self._before
+        if before:
+            known.update((w, before[w]) for w in words if w not in known and w in before)
+        self._learn([w for w in words if w not in known])
+        ids = [known[w] for w in words]
+        if len(known) > MOST_WORDS:
+            self._known, self._before = {}, known
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, the n + 1 borders between texts); null counts as empty."""
