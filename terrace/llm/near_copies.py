@@ -1,9 +1,10 @@
 """Near copies of whole texts: candidates by the SimHash trie join, links by exact Jaccard similarity.
 
 The trie join is over fingerprints of distinct words, of which copies whose word shingles are similar by 0.8 change
-few bits (99.6 % of such pairs lie within the budget of 8, as measured); a second fingerprint, of the shingles
-themselves, must agree within ``WITHIN`` bits too, which keeps texts apart that only share vocabulary. A link is such
-a pair whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is a
+few bits (99.6 % of such pairs lie within the budget of 8, as measured). Two such fingerprints, of independent hashes,
+have a trie join each, and a pair found by either is a candidate: what one misses by chance the other finds. A
+fingerprint of the shingles themselves must agree within ``WITHIN`` bits too, which keeps texts apart that only share
+vocabulary. A link is such a pair whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is a
 connected component of links. Exact copies are one text throughout.
 
 Candidates meet only inside the tries' components. A component is dealt to blocks of about ``block`` texts, and each
@@ -26,7 +27,7 @@ from terrace.llm.components import components
 from terrace.llm.shared import partitions, written
 from terrace.llm.simhash_trie import finer, fingerprint, shingle_hashes, trie_links
 
-WIDTH, SIMILARITY, BUDGET, WITHIN, BLOCK = 5, 0.8, 8, 17, 1024
+WIDTH, SIMILARITY, BUDGET, WITHIN, BLOCK = 5, 0.8, 8, 19, 1024
 #: Digests that are broadcast at most (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -39,19 +40,28 @@ def _digest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
+def _rehashed(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words: the public splitmix64 finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, fp, second) of (doc_id, text, digest): SimHash of distinct words and of distinct shingles."""
+    """(doc_id, digest, fp, other, second) of (doc_id, text, digest): SimHash of distinct words by two hashes, and of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [[], []]
+            fps = [[], [], []]
             for t in b.column(1):
-                for out, n in zip(fps, (1, width), strict=True):
-                    out.append(fingerprint(np.unique(shingle_hashes(t.as_py() or "", n))))
+                text = t.as_py() or ""
+                words = np.unique(shingle_hashes(text, 1))
+                for out, hashes in zip(fps, (words, _rehashed(words), np.unique(shingle_hashes(text, width))), strict=True):
+                    out.append(fingerprint(hashes))
             fps = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps], ["doc_id", "digest", "fp", "second"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps], ["doc_id", "digest", "fp", "other", "second"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, "doc_id long, digest string, fp long, second long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, "doc_id long, digest string, fp long, other long, second long")
 
 
 BINS = 128
@@ -71,7 +81,7 @@ def _block_links(budget: int, within: int, similarity: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, left, right = key
         pdf = pdf.sort_values("id", kind="stable")
-        fps, second = (pdf[k].to_numpy().view(np.uint64) for k in ("fp", "second"))
+        fps, other, second = (pdf[k].to_numpy().view(np.uint64) for k in ("fp", "other", "second"))
         sets = [np.asarray(x, np.int64) for x in pdf["shingles"]]
         ids, size = pdf["id"].to_numpy(), np.array([len(x) for x in sets])
         sketch = np.stack([_sketch(x) for x in sets])
@@ -79,7 +89,8 @@ def _block_links(budget: int, within: int, similarity: float):
         block = pdf["block"].to_numpy()
         root, a, b = np.arange(len(ids)), [], []
         for i in range(len(ids)):
-            j = np.flatnonzero((np.bitwise_count(fps[i] ^ fps) <= budget) & (np.bitwise_count(second[i] ^ second) <= within))
+            near = (np.bitwise_count(fps[i] ^ fps) <= budget) | (np.bitwise_count(other[i] ^ other) <= budget)
+            j = np.flatnonzero(near & (np.bitwise_count(second[i] ^ second) <= within))
             j = j[(j > i) & (root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
             if left != right:
                 j = j[block[j] != block[i]]
@@ -110,12 +121,10 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     marked = _digest(docs)
     own = marked.select("doc_id", "text", F.col("__digest").alias("digest"))
     own = written(_fingerprints(own, width), "fingerprints")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("second").alias("second"), F.count(F.lit(1)).alias("n"))
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "other", "second")), F.count(F.lit(1)).alias("n"))
     texts = written(texts, "texts")
-    # Texts with the same first fingerprint are one node.
-    nodes = written(texts.groupBy("fp").agg(F.min("second").alias("second")).withColumn("node", F.col("fp")), "nodes")
-    label = components(trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN))
-    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", "fp", "second", F.coalesce("component", "fp").alias("component"))
+    label = components(_candidate_links(texts, budget))
+    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", "fp", "other", "second", F.coalesce("component", "fp").alias("component"))
     placed = written(placed, "placed")
     several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     candidates = written(placed.join(several, "component"), "candidates")
@@ -141,19 +150,31 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     return joined.where(~repeated).select(*docs.columns).unionByName(joined.where(repeated).dropDuplicates(["__digest"]).select(*docs.columns))
 
 
+def _candidate_links(texts: DataFrame, budget: int) -> DataFrame:
+    """(a, b) between texts' nodes: texts with the same ``fp`` are one node, named by it."""
+    nodes = written(texts.groupBy("fp").agg(F.min("second").alias("second")).withColumn("node", F.col("fp")), "nodes")
+    found = trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN)
+    # In the other trie a fingerprint stands for one of its nodes; its further nodes are linked to that one.
+    others = texts.groupBy("other").agg(F.min("second").alias("second"), F.min("fp").alias("node"), F.max("fp").alias("most"))
+    others = written(others, "other-nodes")
+    found = found.unionByName(trie_links(others.select("node", F.col("other").alias("fp"), "second"), budget, finer(others.count(), budget), WITHIN))
+    shared = others.where("node <> most").select("other", F.col("node").alias("a"))
+    return found.unionByName(texts.join(shared, "other").where("fp <> a").select("a", F.col("fp").alias("b")))
+
+
 def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: float, budget: int, block: int) -> DataFrame:
     """(digest, label) of all candidates; texts of one group have the same label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 5)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "fp", "second", "component", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 6)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "fp", "other", "second", "component", "shingles"])
 
-    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "second", "component")
+    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "other", "second", "component")
     own = marked.select("doc_id", "text", "__digest")  # other columns may have any names
     picked = own.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
-    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "fp", "second", "component")
-    rows = written(rows.mapInArrow(run, "digest string, fp long, second long, component long, shingles array<long>"), "shingles")
+    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "fp", "other", "second", "component")
+    rows = written(rows.mapInArrow(run, "digest string, fp long, other long, second long, component long, shingles array<long>"), "shingles")
     # The number is made once, and written.
     rows = written(rows.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -161,9 +182,9 @@ def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: fl
     dealt = rows.join(written(sizes.withColumn("blocks", blocks).drop("n"), "component-sizes"), "component")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # A row for each pair of blocks, each with itself included.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "fp", "second", "shingles"
+    facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("facing", facing).select(
+        "component", F.least("block", "facing").alias("left"), F.greatest("block", "facing").alias("right"), "block", "id", "fp", "other", "second", "shingles"
     )
     n = max(partitions(marked.sparkSession), 2 * marked.sparkSession.sparkContext.defaultParallelism)
     links = dealt.repartition(n, "component", "left", "right").groupBy("component", "left", "right").applyInPandas(_block_links(budget, WITHIN, similarity), "a long, b long")
