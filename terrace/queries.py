@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.config import DRIVER as S
 from terrace.functions import scalars
-from terrace.operators import areas, bmn, indices, pairs, validation
+from terrace.operators import areas, bmn, indices, pairs, series, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 
@@ -396,6 +396,17 @@ def ljung_box(t, g, m):
     return validation.ljung_box(_two(t, g, m)[1], ["cbsa_code"])
 
 
+# Regressions whose number of lags follows the data: no SQL; tested against plain formulas and simulated series.
+@query()
+def index_stationarity(t, g, m):
+    return series.stationarity(_two(t, g, m)[1], ["cbsa_code"])
+
+
+@query()
+def index_cointegration(t, g, m):
+    return series.cointegration(*_two(t, g, m), ["cbsa_code", "year"], ["cbsa_code"])
+
+
 @query(f"SELECT year, count(*) AS n, {R('var_samp(appreciation)')} AS variance, {R('regr_slope(appreciation, distance_to_cbd)')} AS gradient FROM grown JOIN geo USING (census_tract) GROUP BY ALL")
 def cross_section(t, g, m):
     return validation.cross_section(_grown(t), g)
