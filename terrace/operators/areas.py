@@ -126,3 +126,15 @@ def supertract_statistics(mapping: DataFrame, halves: DataFrame) -> DataFrame:
     return own.groupBy("cbsa_code", "year", "supertract_id").agg(
         F.count(F.lit(1)).alias("n_tracts"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_half_pairs"), F.avg(F.coalesce(n, F.lit(0))).alias("mean_half_pairs")
     )
+
+
+def aggregate_measures(measures: DataFrame, mapping: DataFrame | None = None, by: tuple[str, ...] = ("cbsa_code", "year")) -> DataFrame:
+    """Measures of merged areas: sums of values, units and balances, and shares averaged by units.
+
+    ``mapping`` (that of ``supertracts``) adds its columns, to group ``by`` supertract_id. A null share doesn't count; where no
+    unit has one, shares are averaged over tracts."""
+    own = measures if mapping is None else measures.join(mapping.select("census_tract", "cbsa_code", "year", "supertract_id"), ["census_tract", "cbsa_code", "year"])
+    units = F.col("unit_measure")
+    share = lambda c: F.coalesce(F.sum(F.col(c) * units) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), units)), F.lit(0.0)), F.avg(c)).alias(c)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
+    return own.groupBy(*by).agg(*map(total, ("value_measure", "unit_measure", "upb_measure")), *map(share, ("college_share", "nonwhite_share")))

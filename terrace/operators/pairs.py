@@ -83,6 +83,12 @@ def time_variables(pairs: DataFrame, base_year: int) -> DataFrame:
     return own.join(a, "__q1").join(b, "__q2").drop("__q1", "__q2")
 
 
+def time_dummies(pairs: DataFrame, first: int, last: int) -> DataFrame:
+    """A column for each year: -1 in the first sale's year, 1 in the second's, else 0. For export; the regression needs only cells."""
+    hit = lambda d, y: (F.year(d) == y).cast("int")
+    return pairs.select("*", *((hit("sale_date_2", y) - hit("sale_date_1", y)).alias(f"year_{y}") for y in range(first, last + 1)))
+
+
 def half_pairs(pairs: DataFrame) -> DataFrame:
     """Ends of filtered pairs by tract, CBSA and year."""
     ends = pairs.select("census_tract", "cbsa_code", F.explode(F.array(F.year("sale_date_1"), F.year("sale_date_2"))).alias("year"))

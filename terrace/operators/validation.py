@@ -58,6 +58,16 @@ def index_checks(levels: DataFrame, by: list[str], base: float = 100.0) -> DataF
     return own.unionByName(odd.select(F.lit("balanced").alias("check_name"), F.coalesce("violations", F.lit(0).cast("long")).alias("violations"), F.coalesce(F.col("violations") == 0, F.lit(True)).alias("ok")))
 
 
+def index_health(index: DataFrame, schemes: int = 6, low: float = 50.0, high: float = 500.0) -> DataFrame:
+    """One row of figures on a city index; ``ok`` if there are rows, none is negative or unusual, and all schemes are there."""
+    x = F.col("index_value")
+    own = index.agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"), F.countDistinct("weight_type").alias("n_schemes"), F.count_if(x < 0).alias("negative"),
+    )
+    return own.withColumn("ok", F.coalesce((F.col("negative") == 0) & (F.col("n_schemes") >= schemes) & (F.col("least") >= low) & (F.col("most") <= high), F.lit(False)))
+
+
 def strict(checks: DataFrame) -> None:
     """Raise if a check fails; an action on a few rows."""
     if failed := [r.check_name for r in checks.where("not ok").collect()]:

@@ -396,6 +396,33 @@ def ljung_box(t, g, m):
     return validation.ljung_box(_two(t, g, m)[1], ["cbsa_code"])
 
 
+@query(f"SELECT *, negative = 0 AND n_schemes >= 6 AND least >= 50 AND most <= 500 AS ok FROM (SELECT count(*) AS n, {R('min(index_value)')} AS least, {R('max(index_value)')} AS most, {R('avg(index_value)')} AS mean, min(year) AS first_year, max(year) AS last_year, count(DISTINCT weight_type) AS n_schemes, count(*) FILTER (index_value < 0) AS negative FROM idx)")
+def index_health(t, g, m):
+    return validation.index_health(_index(t, g, m))
+
+
+@query(f"SELECT cbsa_code, year, round(sum(value_measure), 3) + 0.0 AS value_measure, round(sum(unit_measure), 3) + 0.0 AS unit_measure, round(sum(upb_measure), 3) + 0.0 AS upb_measure, {R('round(sum(college_share * unit_measure) / sum(unit_measure), 9)')} AS college_share, {R('round(sum(nonwhite_share * unit_measure) / sum(unit_measure), 9)')} AS nonwhite_share FROM measures GROUP BY ALL")
+def area_measures(t, g, m):
+    sums = ("value_measure", "unit_measure", "upb_measure")  # near 1e9, where six decimals are beyond a double
+    own = areas.aggregate_measures(m).withColumns({c: F.round(c, 3) for c in sums})
+    return own.withColumns({c: F.round(c, 9) for c in ("college_share", "nonwhite_share")})  # 22.1 / 64 lies halfway between two results
+
+
+@query()
+def supertract_measures(t, g, m):
+    return areas.aggregate_measures(m, areas.supertracts(_grid(t, g), g, S.min_half_pairs), ("cbsa_code", "year", "supertract_id"))
+
+
+@query(f"SELECT property_id, sale_date_1::VARCHAR AS sale_date_1, {R('price_relative / nullif(time_diff_years, 0)')} AS annual FROM good")
+def annual_appreciation(t, g, m):
+    return _good(t).select("property_id", "sale_date_1", scalars.annual_appreciation(F.col("price_relative"), F.col("time_diff_years")).alias("annual"))
+
+
+@query("SELECT property_id, sale_date_1::VARCHAR AS sale_date_1, " + ", ".join(f"(y2 = {y})::INT - (y1 = {y})::INT AS year_{y}" for y in range(S.start_year, S.end_year + 1)) + " FROM good")
+def time_dummies(t, g, m):
+    return pairs.time_dummies(_good(t).select("property_id", "sale_date_1", "sale_date_2"), S.start_year, S.end_year).drop("sale_date_2")
+
+
 # Regressions whose number of lags follows the data: no SQL; tested against plain formulas and simulated series.
 @query()
 def index_stationarity(t, g, m):

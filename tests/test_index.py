@@ -153,3 +153,17 @@ def test_settings_and_sources(spark, tmp_path):
 def test_pairs_take_one_shuffle(spark):
     plan = pairs.repeat_sales(tables.sample_transactions(spark, 10))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Python" not in plan
+
+
+def test_measures_of_merged_areas(spark):
+    schema = "census_tract string, cbsa_code string, year int, value_measure double, unit_measure double, upb_measure double, college_share double, nonwhite_share double"
+    measures = spark.createDataFrame([("a", "1", 2000, 5.0, 1.0, 4.0, 0.2, None), ("b", "1", 2000, 7.0, 3.0, None, 0.6, None), ("c", "1", 2000, 1.0, 0.0, 1.0, 0.5, 0.1)], schema)
+    mapping = spark.createDataFrame([("1", 2000, "x", "a"), ("1", 2000, "x", "b"), ("1", 2000, "y", "c")], "cbsa_code string, year int, supertract_id string, census_tract string")
+    got = {r.supertract_id: tuple(r)[3:] for r in areas.aggregate_measures(measures, mapping, ("cbsa_code", "year", "supertract_id")).collect()}
+    assert got["x"] == pytest.approx((12.0, 4.0, 4.0, 0.5, None)) and got["y"] == pytest.approx((1.0, 0.0, 1.0, 0.5, 0.1))
+
+
+def test_health_of_an_index(spark):
+    own = spark.createDataFrame([(2000, f"w{k}", 100.0 + k) for k in range(6)], "year int, weight_type string, index_value double")
+    assert validation.index_health(own).first().ok and not validation.index_health(own.where("weight_type <> 'w3'")).first().ok
+    assert not validation.index_health(own.where("false")).first().ok
