@@ -1,16 +1,19 @@
 """Near copies of whole texts: candidates by the SimHash trie join, links by exact Jaccard similarity.
 
-The trie join is over fingerprints of distinct words, of which copies whose word shingles are similar by 0.8 change
-few bits (99.6 % of such pairs lie within the budget of 8, as measured). Two such fingerprints, of independent hashes,
-have a trie join each, and a pair found by either is a candidate: what one misses by chance the other finds. A
-fingerprint of the shingles themselves must agree within ``WITHIN`` bits too, which keeps texts apart that only share
-vocabulary. A link is such a pair whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is a
-connected component of links. Exact copies are one text throughout.
-
-Candidates meet only inside the tries' components. A component is dealt to blocks of about ``block`` texts, and each
-pair of its blocks is one unit of work with bounded memory: it checks fingerprints, then a sketch of the shingles, and
-the sets themselves only where neither rules the pair out nor other links connect it already. It returns a spanning
-forest of its links. Most components are a single block.
+Candidates come from three joins, and a pair found by any of them is one:
+
+* two trie joins over fingerprints of distinct words by independent hashes. Copies with scattered changes of words
+  change few of their bits. A fingerprint of the shingles themselves must agree within ``WITHIN`` bits too.
+* MinHash bands over the word shingles: ``BANDS`` keys, each of ``ROWS`` minima. Texts that share a key are linked. At a
+  similarity of 0.8, wherever the changes lie, a pair shares none with a probability of (1 - 0.8**6)**32 = 0.00006.
+
+A link is a candidate whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group
+is a connected component of links. Exact copies are one text throughout.
+
+Candidates meet only inside the joins' components. A component is dealt to blocks of about ``block`` texts, and each
+pair of its blocks is one unit of work with bounded memory: it checks a sketch of the shingles, and the sets themselves
+only where that doesn't rule the pair out nor other links connect it already. It returns a spanning forest of its
+links. Most components are a single block.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from terrace.llm.shared import partitions, written
 from terrace.llm.simhash_trie import finer, fingerprint, shingle_hashes, trie_links
 
 WIDTH, SIMILARITY, BUDGET, WITHIN, BLOCK = 5, 0.8, 8, 19, 1024
+BANDS, ROWS = 32, 6
 #: Digests that are broadcast at most (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -47,21 +51,40 @@ def _rehashed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Odd factors, one for each minimum.
+FACTORS = _rehashed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band, of the band's number and its minima over all shingles."""
+    h = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(h), 2048):
+        np.minimum(least, (h[i : i + 2048] * FACTORS[:, None]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _rehashed(keys ^ row) + row
+    return keys
+
+
 def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, fp, other, second) of (doc_id, text, digest): SimHash of distinct words by two hashes, and of distinct shingles."""
+    """(doc_id, digest, fp, other, second, bands) of (doc_id, text, digest): SimHash of distinct words by two hashes and of distinct shingles, and the shingles' bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [[], [], []]
+            fps, bands = [[], [], []], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                words = np.unique(shingle_hashes(text, 1))
-                for out, hashes in zip(fps, (words, _rehashed(words), np.unique(shingle_hashes(text, width))), strict=True):
+                words, shingles = np.unique(shingle_hashes(text, 1)), np.unique(shingle_hashes(text, width))
+                for out, hashes in zip(fps, (words, _rehashed(words), shingles), strict=True):
                     out.append(fingerprint(hashes))
+                bands.append(_bands(shingles).view(np.int64))
             fps = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps], ["doc_id", "digest", "fp", "other", "second"])
+            bands = pa.array(bands, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps, bands], ["doc_id", "digest", "fp", "other", "second", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, "doc_id long, digest string, fp long, other long, second long")
+    names = "doc_id long, digest string, fp long, other long, second long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, names)
 
 
 BINS = 128
@@ -75,13 +98,12 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_links(budget: int, within: int, similarity: float):
+def _block_links(similarity: float):
     """A spanning forest of the links between two blocks of a component, or inside one."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, left, right = key
         pdf = pdf.sort_values("id", kind="stable")
-        fps, other, second = (pdf[k].to_numpy().view(np.uint64) for k in ("fp", "other", "second"))
         sets = [np.asarray(x, np.int64) for x in pdf["shingles"]]
         ids, size = pdf["id"].to_numpy(), np.array([len(x) for x in sets])
         sketch = np.stack([_sketch(x) for x in sets])
@@ -89,9 +111,7 @@ def _block_links(budget: int, within: int, similarity: float):
         block = pdf["block"].to_numpy()
         root, a, b = np.arange(len(ids)), [], []
         for i in range(len(ids)):
-            near = (np.bitwise_count(fps[i] ^ fps) <= budget) | (np.bitwise_count(other[i] ^ other) <= budget)
-            j = np.flatnonzero(near & (np.bitwise_count(second[i] ^ second) <= within))
-            j = j[(j > i) & (root[j] != root[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i])))
             if left != right:
                 j = j[block[j] != block[i]]
             if not len(j):
@@ -123,12 +143,12 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     own = written(_fingerprints(own, width), "fingerprints")
     texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "other", "second")), F.count(F.lit(1)).alias("n"))
     texts = written(texts, "texts")
-    label = components(_candidate_links(texts, budget))
-    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", "fp", "other", "second", F.coalesce("component", "fp").alias("component"))
+    label = components(_candidate_links(texts, budget).unionByName(_band_links(own)))
+    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", F.coalesce("component", "fp").alias("component"))
     placed = written(placed, "placed")
     several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     candidates = written(placed.join(several, "component"), "candidates")
-    labels = _labels(marked, candidates, width, similarity, budget, block)
+    labels = _labels(marked, candidates, width, similarity, block)
 
     order = F.struct(F.col("first").isNull(), "first", "digest")
     kept = labels.join(candidates, "digest").groupBy("label").agg(F.min(order)["digest"].alias("digest"))
@@ -162,19 +182,26 @@ def _candidate_links(texts: DataFrame, budget: int) -> DataFrame:
     return found.unionByName(texts.join(shared, "other").where("fp <> a").select("a", F.col("fp").alias("b")))
 
 
-def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: float, budget: int, block: int) -> DataFrame:
+def _band_links(own: DataFrame) -> DataFrame:
+    """(a, b) between nodes with a common band: all nodes of a band to the smallest."""
+    keys = written(own.select("fp", F.explode("bands").alias("key")).distinct(), "bands")
+    least = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a <> most").drop("most")
+    return keys.join(written(least, "least-of-bands"), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+
+
+def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
     """(digest, label) of all candidates; texts of one group have the same label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, 6)), pa.array(sets, pa.list_(pa.int64()))], ["digest", "fp", "other", "second", "component", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(sets, pa.list_(pa.int64()))], ["digest", "component", "shingles"])
 
-    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "fp", "other", "second", "component")
+    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "component")
     own = marked.select("doc_id", "text", "__digest")  # other columns may have any names
     picked = own.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
-    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "fp", "other", "second", "component")
-    rows = written(rows.mapInArrow(run, "digest string, fp long, other long, second long, component long, shingles array<long>"), "shingles")
+    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "component")
+    rows = written(rows.mapInArrow(run, "digest string, component long, shingles array<long>"), "shingles")
     # The number is made once, and written.
     rows = written(rows.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -184,9 +211,9 @@ def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: fl
     # A row for each pair of blocks, each with itself included.
     facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("facing", facing).select(
-        "component", F.least("block", "facing").alias("left"), F.greatest("block", "facing").alias("right"), "block", "id", "fp", "other", "second", "shingles"
+        "component", F.least("block", "facing").alias("left"), F.greatest("block", "facing").alias("right"), "block", "id", "shingles"
     )
     n = max(partitions(marked.sparkSession), 2 * marked.sparkSession.sparkContext.defaultParallelism)
-    links = dealt.repartition(n, "component", "left", "right").groupBy("component", "left", "right").applyInPandas(_block_links(budget, WITHIN, similarity), "a long, b long")
+    links = dealt.repartition(n, "component", "left", "right").groupBy("component", "left", "right").applyInPandas(_block_links(similarity), "a long, b long")
     label = components(written(links, "copy-links")).withColumnRenamed("component", "component_")
     return written(rows.join(label, rows["id"] == label["node"], "left").select("digest", F.coalesce("component_", "id").alias("label")), "labels")

@@ -234,3 +234,17 @@ def test_secrets(spark):
     assert secret_scan.scan(frame.where("false")).count() == 0
     joined = secret_scan.scan(frame).join(frame.select("doc_id", "text"), "doc_id").select("doc_id", secret_scan.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("t"))
     assert {r.t for r in joined.where("doc_id = 5").collect()} == {"😀[secret] é [secret]"}
+
+
+def test_near_copies_with_stretches_added_cut_and_inserted(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    words = lambda n: list(rng.choice(vocabulary, n))
+    rows = []
+    for i in range(0, 400, 10):
+        base = words(204)
+        rows += [(i, base), (i + 1, base + words(48)), (i + 2, base[:165]), (i + 3, base[:90] + words(40) + base[90:])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    assert plain_near(rows) == [k // 4 * 4 for k in range(len(rows))]  # each copy is similar to its base by 0.8 or more
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 400, 10))
