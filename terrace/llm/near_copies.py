@@ -171,13 +171,13 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
 
 
 def _candidate_links(texts: DataFrame, budget: int) -> DataFrame:
-    """(a, b) between texts' nodes: texts with the same ``fp`` are one node, named by it."""
-    nodes = written(texts.groupBy("fp").agg(F.min("second").alias("second")).withColumn("node", F.col("fp")), "nodes")
+    """(a, b) between texts' nodes: texts with the same ``fp`` are one node, named by it, with all their ``second``."""
+    nodes = written(texts.select("fp", "second").distinct().withColumn("node", F.col("fp")), "nodes")
     found = trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN)
     # In the other trie a fingerprint stands for one of its nodes; its further nodes are linked to that one.
-    others = texts.groupBy("other").agg(F.min("second").alias("second"), F.min("fp").alias("node"), F.max("fp").alias("most"))
-    others = written(others, "other-nodes")
-    found = found.unionByName(trie_links(others.select("node", F.col("other").alias("fp"), "second"), budget, finer(others.count(), budget), WITHIN))
+    others = written(texts.groupBy("other").agg(F.min("fp").alias("node"), F.max("fp").alias("most")), "other-nodes")
+    seconds = written(texts.select("other", "second").distinct().join(others.drop("most"), "other").withColumnRenamed("other", "fp"), "other-seconds")
+    found = found.unionByName(trie_links(seconds, budget, finer(others.count(), budget), WITHIN))
     shared = others.where("node <> most").select("other", F.col("node").alias("a"))
     return found.unionByName(texts.join(shared, "other").where("fp <> a").select("a", F.col("fp").alias("b")))
 

@@ -69,9 +69,9 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int, budget: int, second: np.ndarray | None = None, within: int = 0) -> np.ndarray:
+def _walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int, budget: int, second: tuple[np.ndarray, np.ndarray] | None = None, within: int = 0) -> np.ndarray:
     """For sorted distinct 64-bit keys, each key's root (an index) in a spanning forest of the links in some subtrees.
-    ``second``: other fingerprints of the same keys, which must differ in ``within`` bits or fewer too.
+    ``second``: other fingerprints, and where those of each key start; some of two keys' must differ in ``within`` bits or fewer too.
 
     A node is a range of keys that share the bits above ``bit``; the subtrees [lo, hi) are walked together, each
     with itself. Node pairs are taken from a stack in slices, so memory is bounded by the slice and the depth,
@@ -99,7 +99,7 @@ def _walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int, budget: in
             i, j = al[single], bl[single]
             linked = np.flatnonzero((np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j))
             if second is not None:
-                linked = linked[np.bitwise_count(second[i[linked]] ^ second[j[linked]]) <= within]
+                linked = linked[_agree(*second, i[linked], j[linked], within)]
             if len(linked) > 4096:  # what is connected by now needs no further link
                 roots = _flat(parent)
                 linked = linked[roots[i[linked]] != roots[j[linked]]]
@@ -126,6 +126,19 @@ def _walk(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int, budget: in
     return _flat(parent)
 
 
+#: Pairs of second fingerprints that are compared for two keys; keys with more are linked without.
+COMPARED = 1 << 22
+
+
+def _agree(second: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, within: int) -> np.ndarray:
+    """Whether keys i and j have second fingerprints that differ in ``within`` bits or fewer."""
+    ok = np.bitwise_count(second[at[i]] ^ second[at[j]]) <= within
+    for k in np.flatnonzero(~ok & ((at[i + 1] - at[i] > 1) | (at[j + 1] - at[j] > 1))).tolist():
+        a, b = (second[at[x[k]] : at[x[k] + 1]] for x in (i, j))
+        ok[k] = len(a) * len(b) > COMPARED or (np.bitwise_count(a[:, None] ^ b) <= within).any()
+    return ok
+
+
 def _flat(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -156,7 +169,8 @@ def finer(n: int, budget: int, size: int = 128) -> int:
 
 def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: int | None = None) -> DataFrame:
     """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget.
-    With ``within``, a column ``second`` (long) must differ in so many bits or fewer too."""
+    With ``within``, a column ``second`` (long) must differ in so many bits or fewer too; a node then has a row for
+    each of its second fingerprints, any of which may agree."""
     if budget < 1:
         raise ValueError("a budget is one bit or more; equal fingerprints are one node")
     blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
@@ -200,13 +214,16 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: i
             mask = masks[tables[lo]]
             key = _compress(fp[lo:hi], mask, ~mask & (1 << 64) - 1)
             order = np.argsort(key)
-            key, ids = key[order], node[lo:hi][order]
+            key, ids, second = key[order], node[lo:hi][order], None
+            if within is not None:
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                second = pdf["second"].to_numpy().view(np.uint64)[lo:hi][order], np.r_[first, len(key)]
+                key, ids = key[first], ids[first]
             rest = 64 - mask.bit_count()
             top = key >> np.uint64(rest)
             starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
             ends = np.r_[starts[1:], len(key)]
             many = ends - starts > 1
-            second = None if within is None else pdf["second"].to_numpy().view(np.uint64)[lo:hi][order]
             roots = _walk(key, starts[many], ends[many], rest - 1, budget, second, within or 0)
             member = roots != np.arange(len(roots))
             yield pd.DataFrame({"a": ids[roots[member]], "b": ids[member]})

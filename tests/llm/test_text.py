@@ -248,3 +248,12 @@ def test_near_copies_with_stretches_added_cut_and_inserted(spark):
     assert plain_near(rows) == [k // 4 * 4 for k in range(len(rows))]  # each copy is similar to its base by 0.8 or more
     got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 400, 10))
+
+
+def test_a_node_keeps_all_shingle_fingerprints(spark):
+    x, o, s1, s2 = 0x0123456789ABCDE, 0x7EDCBA987654321, 0, (1 << 40) - 1
+    # The same words in another order (s1, s2), a near copy of one of them, and a text that is like neither.
+    rows = [(x, o, s1), (x, o, s2), (x ^ 3, o ^ 5, s2 ^ 1), (x ^ 24, o ^ 24, 0xFFFFF << 43)]
+    texts = spark.createDataFrame(rows, "fp long, other long, second long")
+    label = {r.node: r.component for r in components.components(near_copies._candidate_links(texts, 8)).collect()}
+    assert x in label and label[x] == label[x ^ 3] and x ^ 24 not in label
