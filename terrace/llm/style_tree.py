@@ -6,10 +6,11 @@ body. For each node of each host two entropies are computed over the pages that
 * presentation importance: the entropy of the sequences of child labels that it takes, base m (its pages);
 * content importance: 1 less the mean, over the distinct text blocks below it, of log_m(pages with that block).
 
-They combine as ``(1 - g**s) * presentation + g**s * content`` with s the number of its child sequences. A branch
-below ``threshold`` on ``min_pages`` pages or more is removed from each page. Markup fixes the importance of some
-nodes: 0 for navigation, headers, footers, asides, forms, scripts and what its classes name as such, 1 for plain
-branches of an article or main element.
+They combine as ``(1 - g**s) * presentation + g**s * content`` with s the number of its child sequences; below
+``min_pages`` pages the tree doesn't know and takes 0.5. Markup is a prior: its odds multiply those of the importance,
+``NOISE_ODDS`` for navigation, headers, footers, asides, forms and what a whole class, id or role names as such, and
+``ARTICLE_ODDS`` for an article or main element and all below it, each by the share of the node's pages. A node around
+an article on a page has no prior there. A branch below ``threshold`` is removed from each page, unless it is around an article.
 
 Only (host, node, kind, feature, pages) counts are shuffled, added up batch by batch before; a host with a third
 of all pages is spread by node and feature. A host's list of removed nodes is joined back to its pages.
@@ -31,10 +32,16 @@ from pyspark.sql import functions as F
 from terrace.llm.shared import table, written
 
 MIN_PAGES, THRESHOLD, BASE = 5, 0.2, 0.9
+#: With the first, a branch stays only at an importance over 0.96; with the second, it goes only below 0.06.
+NOISE_ODDS, ARTICLE_ODDS = 0.01, 4.0
+#: Importances are taken as within these, as odds end at 0 and 1.
+LEAST, MOST = 0.02, 0.98
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option dialog menu template svg math canvas object audio video map label fieldset".split())
+#: What is not shown as text.
+DROPPED = RAW | frozenset("head template svg math canvas object audio video map".split())
+NOISE_TAGS = frozenset("nav footer aside form button select option dialog menu label fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -52,7 +59,7 @@ CLOSES = {
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-#: Words of a class, id or role that name what is not the article.
+#: Classes, ids and roles that name what is not the article; not parts of them.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert"
     " sidebar side-bar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer comment comments respond"
@@ -68,30 +75,28 @@ HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
 class Node:
-    __slots__ = ("tag", "label", "path", "children", "dropped", "article", "own")
+    __slots__ = ("tag", "label", "path", "children", "dropped", "article", "noise", "around")
 
-    def __init__(self, tag: str, label: str, path: int, dropped: bool, article: bool, own: bool):
+    def __init__(self, tag: str, label: str, path: int, dropped: bool, article: bool, noise: bool):
         self.tag, self.label, self.path, self.children = tag, label, path, []
-        self.dropped, self.article, self.own = dropped, article, own
+        self.dropped, self.article, self.noise, self.around = dropped, article, noise, False
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """(the label's part from class and role, whether they name noise or the element is hidden)."""
-    classes, words, noise = "", set(), False
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """(the label's part from classes, whether class, id or role name noise, whether the element is hidden)."""
+    classes, words, hidden = "", set(), False
     for name, *values in ATTRIBUTE.findall(text):
         name, value = name.lower(), next(filter(None, values), "")
         if name == "class":
             classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in value.lower().split()}))
         if name in ("class", "id", "role"):
-            for c in value.lower().split():
-                words.add(c)
-                words.update(re.split(r"[-_:0-9]+", c))
-        noise |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
-    return classes, noise or not words.isdisjoint(NOISE)
+            words.update(c.strip("-_:0123456789") for c in value.lower().split())
+        hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
+    return classes, not words.isdisjoint(NOISE), hidden
 
 
 def parse(html: str) -> tuple[list[tuple[str, tuple[Node, ...]]], list[Node]]:
-    """(text blocks with the nodes around them, all nodes) of a page; what markup marks as noise has no blocks.
+    """(text blocks with the nodes around them, all nodes) of a page; what isn't shown has no blocks.
 
     Unclosed and misplaced tags are mended as browsers do in the common cases; a tag cut off by the end is dropped."""
     root = Node("body", "body", 0, False, False, False)
@@ -154,12 +159,15 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[Node, ...]]], list[Node]]:
             found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             at = found.start() if found else n
         up = stack[-1]
-        classes, noise = _attributes(attributes) if attributes else ("", False)
+        classes, noise, hidden = _attributes(attributes) if attributes else ("", False, False)
         article = up.article or tag in ("article", "main")
-        dropped = up.dropped or noise or tag in DROPPED or tag == "header" and not up.article
+        dropped = up.dropped or hidden or tag in DROPPED
+        noise |= tag in NOISE_TAGS or tag == "header" and not up.article
         label = f"{tag}.{classes}" if classes else tag
-        own = up.own and not classes if up.article else tag in ("article", "main")
-        node = Node(tag, label, xxhash.xxh64_intdigest(label.encode(), up.path) if not dropped else 0, dropped, article, own)
+        node = Node(tag, label, xxhash.xxh64_intdigest(label.encode(), up.path) if not dropped else 0, dropped, article, noise)
+        if article and not up.article and not dropped:
+            for outer in stack:
+                outer.around = True
         if not dropped:
             if not up.children or up.children[-1] != label:
                 up.children.append(label)  # runs of one label count once
@@ -175,29 +183,29 @@ def _signed(x: int) -> int:
 
 
 def page_features(html: str) -> set[tuple[int, int, int]]:
-    """(node, 0 for presentation or 1 for content, feature) of a page, each once. Nodes of fixed importance are left out."""
+    """(node, kind, feature) of a page, each once; kinds are 0 for presentation, 1 for content, 2 for noise and 3 for an article by markup."""
     blocks, nodes = parse(html)
     styles: dict[int, set[str]] = {}
+    found = set()
     for n in nodes:
-        if n.path and not n.own:
+        if n.path:
             styles.setdefault(n.path, set()).add(">".join(n.children))
-    found = {(_signed(p), 0, _signed(xxhash.xxh64_intdigest("|".join(sorted(s))))) for p, s in styles.items()}
+            if n.noise and not n.around:
+                found.add((_signed(n.path), 2, 0))
+            elif n.article:
+                found.add((_signed(n.path), 3, 0))
+    found.update((_signed(p), 0, _signed(xxhash.xxh64_intdigest("|".join(sorted(s))))) for p, s in styles.items())
     for text, around in blocks:
         h = _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
-        found.update((_signed(n.path), 1, h) for n in around if n.path and not n.own)
+        found.update((_signed(n.path), 1, h) for n in around if n.path)
     return found
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of a page outside the nodes ``low``; all of them if nothing were left."""
+    """The blocks of a page outside the nodes ``low``; if nothing were left, those that markup doesn't call noise."""
     blocks, _ = parse(html)
-    kept = [t for t, around in blocks if not any(_signed(n.path) in low and not n.own for n in around)] if low else []
-    inside = [t for t, around in blocks if around[-1].article]
-    every = kept or [t for t, _ in blocks]
-    if inside and low and kept:
-        inside = [t for t, around in blocks if around[-1].article and not any(_signed(n.path) in low and not n.own for n in around)] or inside
-    # Where a page has an article, its text is the article's.
-    return "\n".join(inside or every)
+    kept = [t for t, around in blocks if not any(_signed(n.path) in low and not n.around for n in around)] if low else [t for t, _ in blocks]
+    return "\n".join(kept or [t for t, around in blocks if not any(n.noise and not n.around for n in around)])
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -205,8 +213,8 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
 
 
-def node_importance(hosted: DataFrame, base: float = BASE) -> DataFrame:
-    """(host, node, pages, importance) of every style node that markup doesn't decide."""
+def node_importance(hosted: DataFrame, base: float = BASE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, node, pages, importance) of every style node."""
     most = 200_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +241,16 @@ def node_importance(hosted: DataFrame, base: float = BASE) -> DataFrame:
         F.count_if(style).alias("s"),
         F.count_if(content).alias("l"),
         F.sum(F.when(content, F.ln("n"))).alias("ln_n"),
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((2, "noise"), (3, "article"))),
     )
     ln_m = F.ln(F.greatest("m", F.lit(2)))
     presentation = F.when(F.col("m") > 1, (F.ln("m") - F.col("n_ln_n") / F.col("m")) / ln_m).otherwise(1.0)
     text = F.when((F.col("m") > 1) & (F.col("l") > 0), 1 - F.col("ln_n") / ln_m / F.col("l")).otherwise(1.0)
     weight = F.pow(F.lit(base), F.col("s"))
-    return nodes.where("m > 0").select("host", "node", F.col("m").alias("pages"), ((1 - weight) * presentation + weight * text).alias("importance"))
+    entropy = F.when(F.col("m") >= min_pages, (1 - weight) * presentation + weight * text).otherwise(0.5)
+    entropy = F.least(F.greatest(entropy, F.lit(LEAST)), F.lit(MOST))
+    odds = F.exp((F.col("noise") * math.log(NOISE_ODDS) + F.col("article") * math.log(ARTICLE_ODDS)) / F.col("m")) * entropy / (1 - entropy)
+    return nodes.where("m > 0").select("host", "node", F.col("m").alias("pages"), (odds / (1 + odds)).alias("importance"))
 
 
 def extract(
@@ -249,7 +261,7 @@ def extract(
     Null html is an empty page with empty text; pages without a host make a site of their own; null and repeated
     ids are kept; an empty table gives an empty result; other columns are ignored."""
     hosted = _hosted(pages, id_col, url_col, html_col)
-    low = node_importance(hosted, base).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    low = node_importance(hosted, base, min_pages).where(F.col("importance") < threshold)
     removed = written(low.groupBy("host").agg(F.collect_set("node").alias("removed")), "low-importance")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

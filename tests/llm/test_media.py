@@ -62,6 +62,22 @@ def test_tree_removes_what_a_site_repeats(spark):
     assert got[50] == "All rights belong to us\nNews 50 of day 50\nCall us"  # a site of one page shows nothing
 
 
+def test_tree_decides_in_articles_and_of_classes(spark):
+    def page(i: int) -> str:
+        body = "".join(f"<{tag}>Part {k} of {i}</{tag}>" for k, tag in enumerate(("h2", "p", "pre", "h3", "blockquote", "section")) if i >> k & 1)
+        return (
+            f"<div class='content with-sidebar'><article><p>Story {i} here</p><div class=plug><p>Get our app</p></div></article></div>"
+            f"<div class=sidebar><p>Best of the week {i}</p></div><div class=lede><p>Lead {i} outside</p></div><div class=related>{body}</div>"
+        )
+
+    rows = [(i, f"https://site.org/{i}", page(i)) for i in range(1, 40)] + [(99, "https://other.org/", "<div class='no-sidebar category-social'><p>Text</p></div><nav>Menu</nav>")]
+    got = {r.page_id: r.text.split("\n") for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(1, 40):
+        assert got[i][:2] == [f"Story {i} here", f"Lead {i} outside"]  # neither the repeated plug nor the sidebar
+        assert len(got[i]) > 2  # a branch of other form and text on each page stays, whatever its class
+    assert got[99] == ["Text"]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 16))
