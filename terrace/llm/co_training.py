@@ -124,7 +124,7 @@ class Model:
     weights: list[np.ndarray]
     calibration: list[np.ndarray]
     combination: np.ndarray
-    constant: float | None = None  # the score of all documents if the labels don't hold both classes
+    constant: float | None = None  # the score of all documents if the labels don't hold enough of both classes
 
     def score(self, *x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, metadata view, combined), each a probability of good quality."""
@@ -173,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Fit on at most ``labelled`` rows of ``labels`` (doc_id, quality) and ``pool`` other documents.
 
     Rows with a null id or label are left out; of several labels of one document the largest counts. The rows
-    with the smallest hashes of their ids are taken, which doesn't depend on partitions."""
+    with the smallest hashes of their ids are taken, which doesn't depend on partitions. With fewer than 5 labels to
+    fit on or 2 held out of either class nothing is fitted: the model is a constant, the mean label (1 without any)."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
     chosen = one.select(F.col("doc_id").cast("long").alias("id"), "y").withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(labelled)
@@ -215,7 +216,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def rejected(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """``docs`` with its columns, without the rows that score below ``least``; no join, so nulls and repeats are safe."""
+    """``docs`` with its columns, without the rows that score below ``least``; no join, so nulls and repeats are safe.
+
+    A constant model can't tell documents apart: all are kept."""
+    if model.constant is not None:
+        return docs
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,14 @@ def test_co_training_of_odd_rows(spark):
     assert co_training.score(docs.where("false"), co_training.train(docs.where("false"), labels.where("false"))).count() == 0
 
 
+def test_too_few_labels_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"clean text {i}", "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(12)], "doc_id long, quality int")
+    model = co_training.train(docs, labels)
+    assert model.constant < 0.5
+    assert co_training.rejected(docs, model).count() == 20
+
+
 def test_law_tables():
     # Fixed values of G.711: the extremes and the smallest steps.
     assert [int(telephony_audio.MULAW_TABLE[i]) for i in (0x00, 0x80, 0xFF, 0x7F, 0xFE)] == [-32124, 32124, 0, 0, 8]
