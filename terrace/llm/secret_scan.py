@@ -43,8 +43,14 @@ KEY = (
     "(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])"
     "[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 )
-CLIENT = "(?i:client_id|app_id|account_id|access_key_id|user_id)[\"']?\\x20{0,8}[:=]\\x20{0,8}[\"']?[A-Za-z0-9_-]{6,128}"
-ENDPOINT = "https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,1000}|[a-z0-9.-]{1,200}\\.amazonaws\\.com"
+CLIENT_NAME = "(?i:client_id|app_id|account_id|access_key_id|user_id)[\"']?\\x20{0,8}[:=]\\x20{0,8}[\"']?"
+CLIENT = CLIENT_NAME + "[A-Za-z0-9_-]{6,}"
+URL = "https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]"
+#: A host starts where its characters do, so a long run of them is tried once.
+ENDPOINT = URL + "{4,}|(?<![a-z0-9.-])[a-z0-9.-]+\\.amazonaws\\.com"
+#: The same of bounded length for the SQL, whose RE2 has no look-around.
+SQL_CLIENT = CLIENT_NAME + "[A-Za-z0-9_-]{6,128}"
+SQL_ENDPOINT = URL + "{4,1000}|[a-z0-9.-]{1,200}\\.amazonaws\\.com"
 #: Order among spans that start together.
 KINDS = ("assign", "access", "hex", "key", "client", "endpoint")
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
@@ -153,7 +159,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(scope: int = SCOPE) -> str:
-    """The query in DuckDB's SQL. RE2 has no look-around: ``key`` is taken from maximal runs instead."""
+    """The query in DuckDB's SQL. RE2 has no look-around: ``key`` is taken from maximal runs instead.
+
+    It cuts client values at 128 characters and URLs at 1000 (hosts at 200), which the query doesn't."""
 
     def spans(kind: str, pattern: str, value: str = "", where: str = "true", gate: str = "") -> str:
         full = f"(?s)(.*?)({pattern}({value}))".replace("'", "''")
@@ -166,7 +174,7 @@ def oracle_sql(scope: int = SCOPE) -> str:
     key = "length(own) = 40 AND NOT contains(own, '=') AND regexp_matches(own, '[0-9]') AND regexp_matches(own, '[A-Z]') AND regexp_matches(own, '[a-z]')"
     parts = " UNION ALL ".join([
         spans("assign", ASSIGN[0], ASSIGN[1], "length(val) >= 8"), spans("access", ACCESS), spans("hex", HEX),
-        spans("key", "[A-Za-z0-9+/=]+", "", key, "[A-Za-z0-9+/]{40}"), spans("client", CLIENT), spans("endpoint", ENDPOINT),
+        spans("key", "[A-Za-z0-9+/=]+", "", key, "[A-Za-z0-9+/]{40}"), spans("client", SQL_CLIENT), spans("endpoint", SQL_ENDPOINT),
     ])
     text = lambda where: (
         f"coalesce(string_agg({list(KINDS)}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER ({where}), '')"

@@ -257,3 +257,17 @@ def test_a_node_keeps_all_shingle_fingerprints(spark):
     texts = spark.createDataFrame(rows, "fp long, other long, second long")
     label = {r.node: r.component for r in components.components(near_copies._candidate_links(texts, 8)).collect()}
     assert x in label and label[x] == label[x ^ 3] and x ^ 24 not in label
+
+
+def test_long_values_and_urls_are_redacted_whole(spark):
+    access = "AKIA" + "B" * 16
+    texts = [
+        (1, f"{access} {KEY} https://s3.example.com/x?sig={'ab%2F' * 800} end"),
+        (2, f"client_id={'v1' * 400} {KEY} end"),
+        (3, f"{access} {KEY} {'a.' * 300}amazonaws.com end"),
+        (4, "a." * 100000),  # no quadratic search
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = secret_scan.scan(frame).join(frame, "doc_id").select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()
+    s = "[secret]"
+    assert {r.doc_id: r.t for r in got} == {1: f"{s} {s} {s} end", 2: f"{s} {s} end", 3: f"{s} {s} {s} end", 4: "a." * 100000}
