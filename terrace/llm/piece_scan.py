@@ -9,8 +9,10 @@ across its left border to those across its right border.
 1. Texts up to ``chunk`` characters are one chunk, from the start to the end.
 2. Longer texts are cut anywhere into chunks, each with its neighbours' nearest characters. Each chunk yields its
    matrix; words that lie inside a chunk have a single state on both sides and need no matrix.
-3. The matrices of one document are multiplied in order (the product is associative), which fixes the piece across
-   each border; each chunk then traces its own path between its two borders, independently of the others.
+3. The product is associative, so matrices are combined in ranges of ``GROUP`` neighbours, the products of those in
+   ranges again, until each document has one (the scan's way up). On the way down, the two ends of a range fix the pieces
+   across the borders inside it. Ranges of one document are worked on apart, at each level. Each chunk then traces its own
+   path between its two borders, independently of the others.
 
 Pieces never reach from a word into the next space, so only words across borders are searched piece by piece; whole
 words go to the library.
@@ -18,20 +20,22 @@ words go to the library.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import table, written
+from terrace.llm.shared import partitions, table, written
+from terrace.llm.word_ids import slices
 
 CHUNK = 16384
+#: Matrices that are multiplied in one place.
+GROUP = 64
 SPACE = "▁"
 #: A piece across a border: (start and end relative to the border, piece).
 State = tuple[int, int, int]
@@ -219,16 +223,16 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def borders(matrices: list[np.ndarray]) -> list[int]:
-    """For a document's matrices in order, the state (an index) at each of its borders, start and end included."""
-    forward = [np.zeros((1, 1))]
+def borders(matrices: list[np.ndarray], source: int = 0, target: int = 0) -> list[int]:
+    """For neighbouring matrices in order, the state (an index) at each of their borders, from ``source`` to ``target``."""
+    forward = [np.where(np.arange(len(matrices[0])) == source, 0.0, -np.inf)]
     for m in matrices:
-        forward.append(product(forward[-1], m))
-    at = [int(forward[-1][0].argmax())]
-    if not np.isfinite(forward[-1]).any():
+        forward.append((forward[-1][:, None] + m).max(axis=0))
+    if not np.isfinite(forward[-1][target]):
         raise ValueError("no path of pieces")
+    at = [target]
     for m, before in zip(reversed(matrices), reversed(forward[:-1]), strict=True):
-        at.append(int((before[0] + m[:, at[-1]]).argmax()))
+        at.append(int((before + m[:, at[-1]]).argmax()))
     return at[::-1]
 
 
@@ -259,84 +263,184 @@ def _opened(p: Pieces, k: int, n: int, lo: int, part: str, chunk: int) -> Chunk:
     return Chunk(p, part, lo, hi, k == 0, k == n - 1)
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each (row, range) of sorted batches; a range may continue in the next batch."""
+    held: list[dict] = []
+    for b in batches:
+        for x in b.to_pylist():
+            if held and (held[-1]["row"], held[-1]["range"]) != (x["row"], x["range"]):
+                yield held
+                held = []
+            held.append(x)
+    if held:
+        yield held
+
+
+def _opened_matrix(x: dict) -> np.ndarray:
+    return np.array(x["cells"]).reshape(-1, x["width"])
+
+
+MATRIX = "row long, k long, width int, cells array<double>"
+STATES = "row long, k long, source int, target int"
+
+
+def _batches(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    part: list[tuple] = []
+    for x in rows:
+        part.append(x)
+        if len(part) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+            part = []
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+
+
+def scan_matrices(matrices: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+    """(row, k, source, target): the states at both borders of each matrix (row, k, width, cells; written) on the best
+    path of its document; ``most`` is the largest number of matrices in one document."""
+    spark = matrices.sparkSession
+    n = max(partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+    dealt = lambda x: x.withColumn("range", F.expr(f"k div {group}")).repartition(n, "row", "range").sortWithinPartitions("row", "range", "k")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own in _ranges(batches):
+                m = _opened_matrix(own[0])
+                for x in own[1:]:
+                    m = product(m, _opened_matrix(x))
+                yield own[0]["row"], own[0]["range"], m.shape[1], m.ravel().tolist()
+
+        yield from _batches(rows(), [("row", pa.int64()), ("k", pa.int64()), ("width", pa.int32()), ("cells", pa.list_(pa.float64()))])
+
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own in _ranges(batches):
+                at = borders([_opened_matrix(x) for x in own], own[0]["source"], own[0]["target"])
+                yield from ((x["row"], x["k"], a, b) for x, a, b in zip(own, at, at[1:], strict=False))
+
+        yield from _batches(rows(), [("row", pa.int64()), ("k", pa.int64()), ("source", pa.int32()), ("target", pa.int32())])
+
+    levels = [matrices]
+    while most > group:
+        levels.append(written(dealt(levels[-1]).mapInArrow(multiply, MATRIX), "range-matrices"))
+        most = -(-most // group)
+    fixed = None
+    for level in reversed(levels):
+        own = level.withColumn("range", F.expr(f"k div {group}"))
+        if fixed is None:  # a document's text begins and ends in a single state
+            own = own.withColumns({"source": F.lit(0), "target": F.lit(0)})
+        else:
+            own = own.join(fixed.withColumnRenamed("k", "range"), ["row", "range"])
+        own = own.repartition(n, "row", "range").sortWithinPartitions("row", "range", "k")
+        fixed = written(own.select("row", "range", "k", "width", "cells", "source", "target").mapInArrow(fix, STATES), "border-states")
+    return fixed
+
+
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, packed: bool = False) -> DataFrame:
     """(doc_id, ids array<int>): a row for each input row, equal to the library's encoding of the whole text.
 
-    Null and empty texts have no ids; null ids and repeated rows are kept; an empty table gives an empty result."""
+    ``packed``: ids as binary, little-endian unsigned 32-bit numbers, which is cheaper to pass on. Null and empty texts
+    have no ids; null ids and repeated rows are kept; other columns are ignored; an empty table gives an empty result."""
     path = path or default_path()
     if chunk < 64:
         raise ValueError("a chunk must be longer than the longest pieces on both sides")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    binary = lambda ids: np.array(ids, "<u4").tobytes()
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = pieces_of(path).library
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                texts = b.column(1).slice(i, 500).to_pylist()
-                ids = library.encode(texts, num_threads=1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for lo, hi in slices(b.column(1), 1 << 20):
+                ids = library.encode(b.column(1).slice(lo, hi - lo).to_pylist(), num_threads=1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(map(binary, ids), pa.binary())], ["doc_id", "ids"])
 
-    short = rows.where(F.length("text") < chunk).mapInArrow(direct, "doc_id long, ids array<int>")
+    short = rows.where(F.length("text") < chunk).mapInArrow(direct, "doc_id long, ids binary")
     # The row number is made once and written with the chunks, so that it is the same in each later step.
     long_rows = rows.where(F.length("text") >= chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = written(_chunk_rows(long_rows, path, chunk), "text-chunks")
+    most = chunks.agg(F.max("n")).first()[0]
+    if most is None:
+        return short if packed else _unpacked(short)
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
-        for pdf in batches:
-            found = [_opened(p, *x, chunk).matrix() for x in pdf[["k", "n", "lo", "part"]].itertuples(index=False)]
-            yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "width": [m.shape[1] for m in found], "cells": [m.ravel().tolist() for m in found]})
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        at = borders([np.array(c).reshape(-1, w) for w, c in zip(pdf["width"], pdf["cells"], strict=True)])
-        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "source": at[:-1], "target": at[1:]})
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for x in zip(*b.columns, strict=True):
+                    row, k, n, lo, part = (v.as_py() for v in x)
+                    m = _opened(p, k, n, lo, part, chunk).matrix()
+                    yield row, k, m.shape[1], m.ravel().tolist()
 
-    weighed = chunks.select("row", "k", "n", "lo", "part").mapInPandas(matrices, "row long, k long, width long, cells array<double>")
-    fixed = weighed.groupBy("row").applyInPandas(combine, "row long, k long, source long, target long")
+        yield from _batches(rows(), [("row", pa.int64()), ("k", pa.int64()), ("width", pa.int32()), ("cells", pa.list_(pa.float64()))])
 
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fixed = scan_matrices(written(chunks.select("row", "k", "n", "lo", "part").mapInArrow(weigh, MATRIX), "matrices"), most, group)
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
-        for pdf in batches:
-            ids = []
-            for k, n, lo, part, source, target in pdf[["k", "n", "lo", "part", "source", "target"]].itertuples(index=False):
-                c = _opened(p, k, n, lo, part, chunk)
-                ids.append(c.trace(c.sources[source], c.targets[target]))
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "k": pdf["k"], "ids": ids})
 
-    traced = chunks.join(fixed, ["row", "k"]).mapInPandas(trace, "row long, doc_id long, k long, ids array<int>")
-    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(whole.select("doc_id", "ids"))
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for x in zip(*b.columns, strict=True):
+                    row, doc_id, k, n, lo, part, source, target = (v.as_py() for v in x)
+                    c = _opened(p, k, n, lo, part, chunk)
+                    yield row, doc_id, k, binary(c.trace(c.sources[source], c.targets[target]))
+
+        yield from _batches(rows(), [("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("ids", pa.binary())], 64)
+
+    both = chunks.join(fixed, ["row", "k"]).select("row", "doc_id", "k", "n", "lo", "part", "source", "target")
+    traced = both.mapInArrow(trace, "row long, doc_id long, k long, ids binary")
+    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY k)").alias("ids"))
+    found = short.unionByName(whole.select("doc_id", "ids"))
+    return found if packed else _unpacked(found)
+
+
+def _unpacked(encoded: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x.as_py(), "<u4").astype(np.int32) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return encoded.mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _text(parts: list[bytes], ids: list[int]) -> str:
+    text = b"".join([parts[i] for i in ids]).decode("utf-8", "replace")
+    return text[1:] if text[:1] == " " else text
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, text): ids as text. Spaces come back from their marks, bytes are joined; a text that itself
-    holds U+2581 comes back with a space there. Null ids are null text."""
+    """(doc_id, ids, text) of (doc_id, ids array<int>): ids as text. Spaces come back from their marks, bytes are joined; a
+    text that itself holds U+2581 comes back with a space there. Null ids are null text; other columns are ignored."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = pieces_of(path).bytes
         for b in batches:
-            texts = []
-            for x in b.column(1):
-                text = b"".join([parts[i] for i in x.values.to_pylist()]).decode("utf-8", "replace") if x.is_valid else None
-                texts.append(text[1:] if text and text[0] == " " else text)
+            texts = [_text(parts, x.values.to_pylist()) if x.is_valid else None for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, text_sha256); the CRC is over little-endian unsigned 32-bit ids."""
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, text_sha256) of packed ids: the CRC is over them, the hash over the decoded text in UTF-8.
+
+    Decoding and hashing are one pass, so ids and texts go no further than the worker."""
+    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = pieces_of(path).bytes
         for b in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(b.column(1)).cast(pa.int64()), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_ids", "ids_crc32", "text_sha256"])
+            n, crc, sha = [], [], []
+            for x in b.column(1):
+                x = x.as_py()
+                ids = np.frombuffer(x, "<u4").tolist()
+                n.append(len(ids)), crc.append(zlib.crc32(x)), sha.append(hashlib.sha256(_text(parts, ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_ids", "ids_crc32", "text_sha256"])
 
-    rows = decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_sha256 string")
 
 
 def op8_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(encode(table(spark, sf_dir, "documents"), packed=True))

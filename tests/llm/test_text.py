@@ -1,5 +1,6 @@
 """Packing, token scan, SentencePiece, SimHash, near copies and secrets against brute force, with odd rows."""
 
+import hashlib
 import re
 import zlib
 
@@ -95,8 +96,12 @@ def test_pieces_equal_the_library(docs):
     library = piece_scan.pieces_of(piece_scan.default_path()).library
     key = lambda d, ids: (-1 if d is None else d, list(ids))
     want = sorted(key(d, library.encode(t or "")) for d, t in ROWS)
-    decoded = piece_scan.decode(piece_scan.encode(docs, chunk=64)).collect()
-    assert sorted(key(r.doc_id, r.ids) for r in decoded) == want
+    for group in (2, 5, 64):  # ranges of matrices: many levels, few, one
+        decoded = piece_scan.decode(piece_scan.encode(docs, chunk=64, group=group)).collect()
+        assert sorted(key(r.doc_id, r.ids) for r in decoded) == want
+    found = piece_scan.digests(piece_scan.encode(docs, chunk=64, packed=True)).collect()
+    ids = [(np.array(library.encode(t or ""), "<u4"), (t or "").encode()) for _, t in ROWS]
+    assert sorted((r.n_ids, r.ids_crc32, r.text_sha256) for r in found) == sorted((len(x), zlib.crc32(x.tobytes()), hashlib.sha256(t).hexdigest()) for x, t in ids)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in decoded) == sorted((-1 if d is None else d, t or "") for d, t in ROWS)
     assert piece_scan.encode(docs.where("false")).count() == 0
 
