@@ -1,6 +1,9 @@
 """Every query with SQL equals DuckDB on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -38,3 +41,12 @@ def test_every_query_has_columns(spark):
     queries = entry.queries()
     assert set(entry.oracle_sql()) <= set(queries)
     assert entry.entry(spark).count() > 0 and os.path.isdir(SF)
+
+
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_without_the_training_data_part(tmp_path, pipeline_too):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    gone = {"llm", ".git", "__pycache__", *(["corpus_pipeline.py"] if pipeline_too else [])}
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda _, names: [n for n in names if n in gone])
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, check=True)
