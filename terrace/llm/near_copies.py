@@ -1,17 +1,17 @@
 """Near copies of whole texts: candidates by the SimHash trie join, links by exact Jaccard similarity.
 
-Candidates come from three joins, and a pair found by any of them is one:
+Candidates come from two joins, and a pair found by either of them is one:
 
-* two trie joins over fingerprints of distinct words by independent hashes. Copies with scattered changes of words
-  change few of their bits. A fingerprint of the shingles themselves must agree within ``WITHIN`` bits too.
+* the trie join over fingerprints of distinct words. Copies with scattered changes of words change few of their bits.
+  A fingerprint of the shingles themselves must agree within ``WITHIN`` bits too.
 * MinHash bands over the word shingles: ``BANDS`` keys, each of ``ROWS`` minima. Texts that share a key are linked. At a
   similarity of 0.8, wherever the changes lie, a pair shares none with a probability of (1 - 0.8**6)**32 = 0.00006.
 
 A link is a candidate whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; a group
 is a connected component of links. Exact copies are one text throughout.
 
-Candidates meet only inside the joins' components. A component is dealt to blocks of about ``block`` texts, and each
-pair of its blocks is one unit of work with bounded memory: it checks a sketch of the shingles, and the sets themselves
+Candidates meet only inside the joins' components. A component is dealt to blocks of about ``block`` texts and ``HELD``
+shingles, and each pair of its blocks is one unit of work with bounded memory: it checks a sketch of the shingles, and the sets themselves
 only where that doesn't rule the pair out nor other links connect it already. It returns a spanning forest of its
 links. Most components are a single block.
 """
@@ -32,6 +32,8 @@ from terrace.llm.simhash_trie import finer, fingerprint, shingle_hashes, trie_li
 
 WIDTH, SIMILARITY, BUDGET, WITHIN, BLOCK = 5, 0.8, 8, 19, 1024
 BANDS, ROWS = 32, 6
+#: Shingles of one block, and parts that a component of several blocks is spread over when it learns their number.
+HELD, SALTS = 2_000_000, 64
 #: Digests that are broadcast at most (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -40,8 +42,10 @@ def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest, row) of all rows; columns with any names stay in the struct ``row``."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def _rehashed(h: np.ndarray) -> np.ndarray:
@@ -68,23 +72,23 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, fp, other, second, bands) of (doc_id, text, digest): SimHash of distinct words by two hashes and of distinct shingles, and the shingles' bands."""
+    """(doc_id, digest, fp, second, bands) of (doc_id, text, digest): SimHash of distinct words and of distinct shingles, and the shingles' bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, bands = [[], [], []], []
+            fps, bands = [[], []], []
             for t in b.column(1):
                 text = t.as_py() or ""
                 words, shingles = np.unique(shingle_hashes(text, 1)), np.unique(shingle_hashes(text, width))
-                for out, hashes in zip(fps, (words, _rehashed(words), shingles), strict=True):
+                for out, hashes in zip(fps, (words, shingles), strict=True):
                     out.append(fingerprint(hashes))
                 bands.append(_bands(shingles).view(np.int64))
             fps = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in fps]
             bands = pa.array(bands, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps, bands], ["doc_id", "digest", "fp", "other", "second", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *fps, bands], ["doc_id", "digest", "fp", "second", "bands"])
 
-    names = "doc_id long, digest string, fp long, other long, second long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest").mapInArrow(run, names)
+    names = "doc_id long, digest string, fp long, second long, bands array<long>"
+    return docs.select("doc_id", "text", "digest").mapInArrow(run, names)
 
 
 BINS = 128
@@ -138,16 +142,15 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
 
     Null text is empty; all empty texts are one group. A null id comes after all others; of repeated rows one stays.
     An empty table gives an empty result. All columns are kept as they are."""
-    marked = _digest(docs)
-    own = marked.select("doc_id", "text", F.col("__digest").alias("digest"))
-    own = written(_fingerprints(own, width), "fingerprints")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "other", "second")), F.count(F.lit(1)).alias("n"))
+    marked = _marked(docs)
+    own = written(_fingerprints(marked, width), "fingerprints")
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "second")), F.count(F.lit(1)).alias("n"))
     texts = written(texts, "texts")
-    label = components(_candidate_links(texts, budget).unionByName(_band_links(own)))
-    placed = texts.join(label, F.col("fp") == label["node"], "left").select("digest", "first", F.coalesce("component", "fp").alias("component"))
-    placed = written(placed, "placed")
-    several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    candidates = written(placed.join(several, "component"), "candidates")
+    label = written(components(_candidate_links(texts, budget).unionByName(_band_links(own))), "candidate-components")
+    # Texts with the same fingerprint are candidates without any link.
+    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("node"))
+    label = label.unionByName(several.join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
+    candidates = written(texts.join(label, F.col("fp") == F.col("node")).select("digest", "first", "component"), "candidates")
     labels = _labels(marked, candidates, width, similarity, block)
 
     order = F.struct(F.col("first").isNull(), "first", "digest")
@@ -155,31 +158,23 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     gone = labels.select("digest").join(kept, "digest", "left_anti").select("digest", F.lit(True).alias("gone"))
     # What isn't simply kept: texts of dropped copies, and texts with several rows.
     held = own.where("doc_id is not null").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("same"))
-    ruled = texts.join(gone, "digest", "left").where("gone or n > 1").select("digest", F.col("first").alias("__first"), F.coalesce("gone", F.lit(False)).alias("__gone"))
-    same = held.where("same > 1").select(F.col("digest").alias("d2"), F.col("doc_id").alias("i2"), F.lit(True).alias("__same"))
-    ruled = ruled.join(same, (ruled["digest"] == same["d2"]) & (ruled["__first"] == same["i2"]), "left")
+    ruled = texts.join(gone, "digest", "left").where("gone or n > 1").select("digest", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    same = held.where("same > 1").select(F.col("digest").alias("d2"), F.col("doc_id").alias("i2"), F.lit(True).alias("same"))
+    ruled = ruled.join(same, (ruled["digest"] == same["d2"]) & (ruled["first"] == same["i2"]), "left")
     # Null ids can't be told from one another: several are repeated rows.
-    ruled = ruled.select(F.col("digest").alias("__digest"), "__first", "__gone", (F.coalesce("__same", F.lit(False)) | F.col("__first").isNull()).alias("__same"))
+    ruled = ruled.select("digest", "first", "gone", (F.coalesce("same", F.lit(False)) | F.col("first").isNull()).alias("same"))
     ruled = written(ruled, "ruled")
-    joined = marked.join(_few(ruled, ruled.count()), "__digest", "left").where(
-        F.col("__gone").isNull() | (~F.col("__gone") & F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
-    )
-    if ruled.where("__same and not __gone").isEmpty():
-        return joined.select(*docs.columns)
-    repeated = F.coalesce("__same", F.lit(False))
-    return joined.where(~repeated).select(*docs.columns).unionByName(joined.where(repeated).dropDuplicates(["__digest"]).select(*docs.columns))
+    joined = marked.join(_few(ruled, ruled.count()), "digest", "left").where(F.col("gone").isNull() | (~F.col("gone") & F.col("doc_id").eqNullSafe(F.col("first"))))
+    if ruled.where("same and not gone").isEmpty():
+        return joined.select("row.*")
+    repeated = F.coalesce("same", F.lit(False))
+    return joined.where(~repeated).select("row.*").unionByName(joined.where(repeated).dropDuplicates(["digest"]).select("row.*"))
 
 
 def _candidate_links(texts: DataFrame, budget: int) -> DataFrame:
     """(a, b) between texts' nodes: texts with the same ``fp`` are one node, named by it, with all their ``second``."""
     nodes = written(texts.select("fp", "second").distinct().withColumn("node", F.col("fp")), "nodes")
-    found = trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN)
-    # In the other trie a fingerprint stands for one of its nodes; its further nodes are linked to that one.
-    others = written(texts.groupBy("other").agg(F.min("fp").alias("node"), F.max("fp").alias("most")), "other-nodes")
-    seconds = written(texts.select("other", "second").distinct().join(others.drop("most"), "other").withColumnRenamed("other", "fp"), "other-seconds")
-    found = found.unionByName(trie_links(seconds, budget, finer(others.count(), budget), WITHIN))
-    shared = others.where("node <> most").select("other", F.col("node").alias("a"))
-    return found.unionByName(texts.join(shared, "other").where("fp <> a").select("a", F.col("fp").alias("b")))
+    return trie_links(nodes, budget, finer(nodes.count(), budget), WITHIN)
 
 
 def _band_links(own: DataFrame) -> DataFrame:
@@ -197,17 +192,19 @@ def _labels(marked: DataFrame, candidates: DataFrame, width: int, similarity: fl
             sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(sets, pa.list_(pa.int64()))], ["digest", "component", "shingles"])
 
-    wanted = candidates.select(F.col("digest").alias("__digest"), "first", "component")
-    own = marked.select("doc_id", "text", "__digest")  # other columns may have any names
-    picked = own.join(_few(wanted, candidates.count()), "__digest").where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
-    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "__digest", "component")
+    wanted = candidates.withColumnRenamed("digest", "wanted")
+    picked = marked.join(_few(wanted, candidates.count()), F.col("digest") == F.col("wanted")).where(F.col("doc_id").eqNullSafe(F.col("first")))
+    rows = picked.select(F.coalesce("text", F.lit("")).alias("text"), "digest", "component")
     rows = written(rows.mapInArrow(run, "digest string, component long, shingles array<long>"), "shingles")
     # The number is made once, and written.
     rows = written(rows.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "shingle-sets")
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.expr(f"cast(ceil(n / {block}) as int)")
-    dealt = rows.join(written(sizes.withColumn("blocks", blocks).drop("n"), "component-sizes"), "component")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("held"))
+    sizes = sizes.select("component", F.expr(f"cast(ceil(greatest(n / {block}, held / {HELD})) as int)").alias("blocks"))
+    large = written(sizes.where("blocks > 1"), "large-components")
+    # A large component is met in many parts.
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(_few(large, large.count()), ["component", "salt"], "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # A row for each pair of blocks, each with itself included.
     facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("facing", facing).select(
