@@ -23,12 +23,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with ``[secret]`` in place of each secret, and n_chars of the new text."""
     found = secret_scan.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("i"), "digest", "spans").dropDuplicates(["i", "digest"])
     found = written(found, "secret-spans")
-    marked = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.alias("d").join(found.alias("s"), F.expr("d.doc_id <=> s.i and d.digest = s.digest"), "left")
+    joined = docs.alias("d").join(found.alias("s"), F.expr("d.doc_id <=> s.i and xxhash64(coalesce(d.text, '')) = s.digest"), "left")
     text = F.when(F.col("s.spans").isNotNull(), secret_scan.redact(F.col("d.text"), F.col("s.spans"))).otherwise(F.col("d.text"))
     n_chars = F.when(F.col("s.spans").isNotNull(), F.length(text)).otherwise(F.col("d.n_chars"))
     new = {"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
-    return joined.select(*(new[c].alias(c) if c in new else F.col(f"d.{c}") for c in docs.columns))
+    return joined.select(*(new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
