@@ -250,18 +250,27 @@ def _compress(fp: np.ndarray, first: int, last: int) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, width: int = 3, budget: int = 3, extra_blocks: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Parts that the nodes of one class are spread over when they learn its id.
+SALTS = 16
+
+
+def classes(docs: DataFrame, width: int = 3, budget: int = 3, extra_blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id): for each row, the smallest doc_id reachable by links of ``budget`` bits or fewer.
 
-    Null text is empty; empty texts have fingerprint zero and link like any other. A null doc_id names no
-    component: such a row gets the smallest id of its class, and null if its class has none and it has no links
-    (its fingerprint then takes part in no link). Repeated rows get repeated results, an empty table an empty one."""
+    Null text is empty; empty texts have fingerprint zero and link like any other. Rows with a null doc_id link like
+    others but name no component: they get the smallest id of their class, null if it has none. Repeated rows get
+    repeated results, an empty table an empty one. Texts may be of any length; other columns are ignored.
+    ``extra_blocks`` is chosen by the number of distinct fingerprints unless given."""
     own = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    label = components(trie_links(nodes, budget, extra_blocks))
-    known = written(
-        nodes.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")).where("component_id is not null"), "components"
-    )
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")), "nodes")
+    extra_blocks = finer(nodes.count(), budget) if extra_blocks is None else extra_blocks
+    label = components(trie_links(nodes.select("node", "fp"), budget, extra_blocks))
+    placed = written(nodes.join(label, "node", "left").select("fp", "first", "component"), "placed")
+    several = placed.where("component is not null")
+    # A class may hold very many nodes: it is met in parts.
+    ids = several.groupBy("component").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    several = several.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS))).join(ids, ["component", "salt"]).select("fp", "component_id")
+    known = written(placed.where("component is null").select("fp", F.col("first").alias("component_id")).unionByName(several), "components")
     # Both sides are plain exchanges: a fingerprint with very many rows is split by adaptive skew joins.
     return own.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -174,6 +174,14 @@ def test_simhash_of_odd_rows(docs):
     assert simhash_trie.classes(docs.where("false")).count() == 0
 
 
+def test_a_null_id_bridges_two_texts(spark, monkeypatch):
+    fps = {"a": 0, "b": 0b111, "c": 0b111111, "d": 0xFFFF << 40, "e": (0xFFFF << 40) + 1}
+    monkeypatch.setattr(simhash_trie, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(text as long) as fp"))
+    rows = [(1, str(fps["a"])), (None, str(fps["b"])), (3, str(fps["c"])), (None, str(fps["d"])), (None, str(fps["e"])), (3, str(fps["c"]))]
+    got = simhash_trie.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.fp: r.component_id for r in got} == {fps["a"]: 1, fps["b"]: 1, fps["c"]: 1, fps["d"]: None, fps["e"]: None} and len(got) == len(rows)
+
+
 def plain_near(rows):
     sets = []
     for d, t in rows:
