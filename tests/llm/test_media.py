@@ -1,6 +1,7 @@
 """WARC, extraction, neighbours, co-training, audio and the pipeline."""
 
 import hashlib
+import math
 import os
 import zlib
 
@@ -98,6 +99,40 @@ def test_neighbours(spark):
     assert collision_knn.nearest(frame.where("false"), frame).count() == 0
 
 
+def test_neighbours_of_repeats_and_huge_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(40)] * 4 + [(7, [float(v) for v in x[9]])] * 3  # an id with two vectors
+    rows += [(100 + i, [1e308] * 4 + [-1e308] * 4) for i in range(3)] + [(200 + i, [1e200 * (i + 1)] * 8) for i in range(3)] + [(300 + i, [1e-200 * (i + 1)] * 8) for i in range(3)]
+    frame = collision_knn.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(np.array(v))
+    for block_rows in (16, 1000):
+        got = collision_knn.nearest(frame.where("vec_id in (0, 7, 100, 200, 300)"), frame, block_rows=block_rows, query_rows=4).collect()
+        for q in (0, 7, 100, 200, 300):
+            own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert [r for r, _, _ in own] == list(range(1, 11)) and len({v for _, v, _ in own}) == 10
+            want = {i: min(math.dist(a, b) for a in vectors[q] for b in vectors[i]) for i in vectors if i != q}
+            assert all(s == pytest.approx(want[v], rel=1e-12) for _, v, s in own)
+            if q in (0, 200):
+                assert len({v for _, v, _ in own} & set(sorted(want, key=lambda i: (want[i], i))[:10])) >= 9
+
+
+def test_recall_of_neighbours(spark):
+    got = collision_knn.op3_collision_knn(spark, "/root/testdata/sf0.1").toPandas()
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(float)
+    hit = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        own = got[got.query_id == ids[i]].sort_values("rank")
+        assert len(own) == 10 and (np.diff(own.score) >= 0).all()
+        hit += len(set(own.vec_id) & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= 0.95 * 10 * (ids % 100 == 0).sum()
+
+
 def test_co_training_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = co_training.train(docs, labels.where("doc_id % 2 = 0"), labelled=1000, pool=1500)
