@@ -18,11 +18,12 @@ document: a ``key`` needs an identifier (``access`` or ``client``), a ``client``
 (document, block of ``scope`` code points): each block is reduced to the parts' first start and last end
 before the join, so a document with very many parts makes a row per block and never a row per pair.
 
-Positions come from one pass for each kind: ``\\G(.*?)(pattern)`` yields the gap before each match, whose
-lengths add up to positions; ``\\G`` keeps a text without further matches linear.
+Positions come from the gaps before matches: ``\\G(.*?)(pattern)`` yields each gap, and lengths add up to positions;
+``\\G`` keeps a text without further matches linear. Positions and spans are made block by block, and text is cut from
+stretches of it, so that a text with very many matches costs little more than its length.
 
-Null text counts as empty; null ids are kept; repeated rows give repeated results; an empty table gives an
-empty result; extra columns are ignored.
+Null text counts as empty; null ids are kept; repeated rows give repeated results; texts may be of any length; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,34 +44,65 @@ KEY = (
     "(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])"
     "[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 )
-CLIENT_NAME = "(?i:client_id|app_id|account_id|access_key_id|user_id)[\"']?\\x20{0,8}[:=]\\x20{0,8}[\"']?"
+CLIENT_NAME = "(?i:client_id|app_id|account_id|access_key_id|user_id)[\"']?\\x20*[:=]\\x20*[\"']?"
 CLIENT = CLIENT_NAME + "[A-Za-z0-9_-]{6,}"
 URL = "https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]"
 #: A host starts where its characters do, so a long run of them is tried once.
 ENDPOINT = URL + "{4,}|(?<![a-z0-9.-])[a-z0-9.-]+\\.amazonaws\\.com"
-#: The same of bounded length for the SQL, whose RE2 has no look-around.
-SQL_CLIENT = CLIENT_NAME + "[A-Za-z0-9_-]{6,128}"
-SQL_ENDPOINT = URL + "{4,1000}|[a-z0-9.-]{1,200}\\.amazonaws\\.com"
+#: The same without look-around, which the SQL's RE2 lacks: greedy matches from the left start there anyway.
+SQL_ENDPOINT = URL + "{4,}|[a-z0-9.-]+\\.amazonaws\\.com"
 #: Order among spans that start together.
 KINDS = ("assign", "access", "hex", "key", "client", "endpoint")
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
+#: Items of a block. An aggregate copies what it gathers at every step, so it gathers a block's items only.
+BLOCK = 64
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_blocks(items: Column, total, more, step, kind: str) -> Column:
+    """Runs ``step(at, out, item) -> (at, out)`` over ``items`` and gives all that went to ``out`` (arrays of ``kind``).
+
+    ``at`` starts at 0; ``total(block)`` is what a block adds to it and ``more(at, t)`` adds it, so that each block
+    of items can start from the ones before it."""
+
+    def run(x: Column) -> Column:
+        block = lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK))
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / BLOCK).cast("int"), F.lit(0)))
+
+        def from_totals(totals: Column) -> Column:
+            before = lambda i: F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0), more)
+            start = lambda i: F.struct(before(i).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+            def add(acc: Column, item: Column) -> Column:
+                at, out = step(acc["at"], acc["out"], item)
+                return F.struct(at.alias("at"), out.alias("out"))
+
+            return F.flatten(F.transform(numbers, lambda i: F.aggregate(block(i), start(i), add, lambda acc: acc["out"])))
+
+        return _bound(F.transform(numbers, lambda i: total(block(i))), from_totals)
+
+    return _bound(items, run)
+
+
 def _matches(text: Column, pattern: str, kind: str, value: str = "", least: int = 0) -> Column:
     """All spans of ``pattern`` followed by ``value``, without those whose value is shorter than ``least``."""
     full = F.lit(f"(?s)\\G(.*?)({pattern}({value}))")
     part = lambda g: F.transform(F.regexp_extract_all(text, full, F.lit(g)), lambda x: F.length(x))
     parts = F.arrays_zip(part(1).alias("gap"), part(2).alias("own"), part(3).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["own"]
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("stop"))
-        kept = F.when(x["value"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def step(at: Column, out: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x["own"]).alias("stop"))
+        return begin + x["own"], F.when(x["value"] >= least, F.concat(out, F.array(span))).otherwise(out)
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    total = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["own"])
+    found = _by_blocks(parts, total, lambda at, t: at + t, step, SPANS[6:-1])
     return F.when(F.regexp_like(text, F.lit(f"(?:{pattern}){value}")), found).otherwise(F.array().cast(SPANS))
 
 
@@ -133,17 +165,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each maximal stretch of overlapping spans (sorted by start) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+#: Code points of a stretch; cutting counts characters from a stretch's start, not from the text's.
+STRETCH = 4096
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.concat(acc["out"], F.array(gap, F.lit(mark)))
-        out = F.when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), acc["out"]).otherwise(new)
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with each maximal stretch of overlapping spans (sorted by start) replaced by ``mark``."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """The code points from ``a`` up to ``b``."""
+        first, last = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+        piece = lambda i: F.coalesce(F.try_element_at(pieces, i + 1), F.lit(""))
+        inside = F.substring(piece(first), a - first * STRETCH + 1, b - a)
+        between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        across = F.concat(F.substring(piece(first), a - first * STRETCH + 1, F.lit(STRETCH)), between, F.substring(piece(last), F.lit(1), b - last * STRETCH))
+        return F.when(b <= a, "").when(first == last, inside).otherwise(across)
+
+    def step(at: Column, out: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.struct(at.alias("a"), s["start"].alias("b"))
+        # A span that starts before the end of another is part of its mark; ``at`` is 0 before the first only, as spans aren't empty.
+        return F.greatest(at, s["stop"]), F.when((at == 0) | (s["start"] >= at), F.concat(out, F.array(gap))).otherwise(out)
+
+    furthest = lambda block: F.aggregate(block, F.lit(0), lambda acc, s: F.greatest(acc, s["stop"]))
+    gaps = _by_blocks(spans, furthest, lambda at, t: F.greatest(at, t), step, "struct<a:int,b:int>")
+    end = furthest(spans)
+    done = _bound(pieces, lambda p: F.concat(F.array_join(F.transform(gaps, lambda g: F.concat(cut(p, g["a"], g["b"]), F.lit(mark))), ""), cut(p, end, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -159,9 +206,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(scope: int = SCOPE) -> str:
-    """The query in DuckDB's SQL. RE2 has no look-around: ``key`` is taken from maximal runs instead.
-
-    It cuts client values at 128 characters and URLs at 1000 (hosts at 200), which the query doesn't."""
+    """The query in DuckDB's SQL. RE2 has no look-around: ``key`` is taken from maximal runs instead."""
 
     def spans(kind: str, pattern: str, value: str = "", where: str = "true", gate: str = "") -> str:
         full = f"(?s)(.*?)({pattern}({value}))".replace("'", "''")
@@ -174,7 +219,7 @@ def oracle_sql(scope: int = SCOPE) -> str:
     key = "length(own) = 40 AND NOT contains(own, '=') AND regexp_matches(own, '[0-9]') AND regexp_matches(own, '[A-Z]') AND regexp_matches(own, '[a-z]')"
     parts = " UNION ALL ".join([
         spans("assign", ASSIGN[0], ASSIGN[1], "length(val) >= 8"), spans("access", ACCESS), spans("hex", HEX),
-        spans("key", "[A-Za-z0-9+/=]+", "", key, "[A-Za-z0-9+/]{40}"), spans("client", SQL_CLIENT), spans("endpoint", SQL_ENDPOINT),
+        spans("key", "[A-Za-z0-9+/=]+", "", key, "[A-Za-z0-9+/]{40}"), spans("client", CLIENT), spans("endpoint", SQL_ENDPOINT),
     ])
     text = lambda where: (
         f"coalesce(string_agg({list(KINDS)}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER ({where}), '')"

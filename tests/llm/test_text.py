@@ -249,6 +249,20 @@ def test_secrets(spark):
     assert {r.t for r in joined.where("doc_id = 5").collect()} == {"😀[secret] é [secret]"}
 
 
+def test_secrets_by_the_thousand(spark):
+    text = "".join(f"é{'0a' * 16}token={'b' * 8}\n" if i % 3 else "password=token:abcdefghij 😀 " for i in range(20000))
+    frame = spark.createDataFrame([(1, text), (2, "token=" + "0a" * 20 + " x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan(frame).join(frame, "doc_id").select("doc_id", "base", secret_scan.redact(F.col("text"), F.col("base")).alias("t")).collect()}
+    for d, t in ((1, text), (2, "token=" + "0a" * 20 + " x")):
+        want, out, at = plain_spans(t), [], 0
+        assert [(s.start, s.kind, s.stop) for s in got[d].base] == want
+        for start, _, stop in want:
+            if start >= at:
+                out += [t[at:start], "[secret]"]
+            at = max(at, stop)
+        assert got[d].t == "".join([*out, t[at:]])
+
+
 def test_near_copies_with_stretches_added_cut_and_inserted(spark):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(3000)]
