@@ -80,6 +80,14 @@ def proximity_groups(tracts: DataFrame, radius: float, unit: str = "km") -> Data
     return own.groupBy("cbsa_code").applyInPandas(run, "cbsa_code string, census_tract string, group_id string")
 
 
+def pair_scores(tracts: DataFrame, grid: DataFrame, unit: str = "km") -> DataFrame:
+    """(cbsa_code, tract_1, tract_2, total_half_pairs, score): how well two tracts of a CBSA go together, by their half-pairs over one more than their distance."""
+    n = grid.groupBy("census_tract").agg(F.sum("total_half_pairs").alias("n"))
+    one, two = (n.select(F.col("census_tract").alias(f"tract_{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    own = distance_matrix(tracts, unit).join(one, "tract_1").join(two, "tract_2").withColumn("total_half_pairs", F.col("n1") + F.col("n2"))
+    return own.select("cbsa_code", "tract_1", "tract_2", "total_half_pairs", (F.col("total_half_pairs") / (1 + F.col("distance"))).alias("score"))
+
+
 def merge_tracts(pdf: pd.DataFrame, least: int, unit: str = "km") -> pd.DataFrame:
     """Supertracts of one CBSA and year.
 

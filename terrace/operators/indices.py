@@ -54,13 +54,17 @@ def city_appreciation(areas: DataFrame, weights_: DataFrame, area: str = "census
     )
 
 
-def city_index(appreciation: DataFrame, first: int, last: int, base_year: int, base: float = 100.0) -> DataFrame:
+def city_index(
+    appreciation: DataFrame, first: int, last: int, base_year: int, base: float = 100.0, cities: DataFrame | None = None, schemes: tuple[str, ...] = SCHEMES
+) -> DataFrame:
     """(cbsa_code, weight_type, year, appreciation, index_value, yoy_change, is_default), a row for each year.
 
-    Levels chain exp(sum of appreciations), a missing year keeps the level, and the base year is ``base``. The
-    cities and schemes are those of ``appreciation``; one with no value at all stays at the base."""
+    Levels chain exp(sum of appreciations), a missing year keeps the level, and the base year is ``base``. There is a row
+    for each of ``schemes`` and each cbsa_code of ``cities``, or where that is not given for those of ``appreciation``; one with no
+    value at all stays at the base, and is a default."""
     keys = ["cbsa_code", "weight_type"]
-    grid = appreciation.select(*keys).distinct().withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    own_keys = appreciation.select(*keys) if cities is None else cities.select("cbsa_code").distinct().withColumn("weight_type", F.explode(F.array(*map(F.lit, schemes))))
+    grid = own_keys.distinct().withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
     own = grid.join(appreciation.select(*keys, "year", "appreciation"), [*keys, "year"], "left")
     every, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("year")
     step = F.when(F.col("year") > first, F.coalesce("appreciation", F.lit(0.0))).otherwise(0.0)
@@ -85,6 +89,20 @@ def tract_panel(levels: DataFrame, tracts: DataFrame, first: int, last: int, bas
     return own.withColumn("yoy_change", F.col("index_value") / F.lag("index_value").over(w) - 1).select("census_tract", "year", "index_value", "yoy_change")
 
 
+def panel_summary(panel: DataFrame) -> DataFrame:
+    """Figures of a tract panel by year."""
+    v = F.col("index_value")
+    return panel.groupBy("year").agg(
+        F.count(v).alias("n_tracts"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg("yoy_change").alias("mean_change")
+    )
+
+
+def balance_proxy(transactions: DataFrame, tracts: DataFrame, share: float = 0.8) -> DataFrame:
+    """(census_tract, cbsa_code, year, upb_measure): unpaid balances taken as a share of the sales' value, for the tracts of a mapping."""
+    own = transactions.join(tracts.select("census_tract").distinct(), "census_tract")
+    return own.groupBy("census_tract", "cbsa_code", F.year("transaction_date").alias("year")).agg((F.sum("transaction_price") * share).alias("upb_measure"))
+
+
 def index_changes(levels: DataFrame, by: list[str]) -> DataFrame:
     """Year-over-year change, log appreciation and compound growth since the first year."""
     w = Window.partitionBy(*by).orderBy("year")

@@ -55,7 +55,7 @@ class IndexPipeline:
         grown = stage("appreciation", lambda: self.appreciation(cells, mapping))
         weights = indices.weights(grid.where(F.col("year") >= s.start_year), measures, "supertract_id", s.schemes, mapping)
         city = indices.city_appreciation(grown, weights, "supertract_id")
-        levels = indices.city_index(city, s.start_year, s.end_year, s.base_year, s.base_value)
+        levels = indices.city_index(city, s.start_year, s.end_year, s.base_year, s.base_value, geography, s.schemes)
         # A tract's appreciation is its supertract's of the year.
         by_tract = mapping.join(grown, ["cbsa_code", "year", "supertract_id"]).select("census_tract", "year", "appreciation")
         w = Window.partitionBy("census_tract").orderBy("year")

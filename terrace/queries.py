@@ -76,8 +76,8 @@ def _good(t):
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    # Growth over a few days can pass 1e20, where engines' powers differ in the last digits; shown up to a million.
-    return df.withColumn("cagr", F.least("cagr", F.lit(1e6)))
+    # Growth over a few days can pass 1e20, where engines' powers differ in the last digits; shown as ln(1 + cagr).
+    return df.withColumn("cagr", F.log1p("cagr")).withColumnRenamed("cagr", "log_cagr")
 
 
 def _grid(t, g):
@@ -100,7 +100,7 @@ def _index(t, g, m):
     return indices.city_index(_city(t, g, m), S.start_year, S.end_year, S.base_year)
 
 
-PAIR = f"property_id, census_tract, cbsa_code, distance_to_cbd, sale_date_1::VARCHAR AS sale_date_1, sale_date_2::VARCHAR AS sale_date_2, sale_price_1, sale_price_2, {R('price_relative')} AS price_relative, {R('time_diff_years')} AS time_diff_years, {R('least(cagr, 1e6)')} AS cagr"
+PAIR = f"property_id, census_tract, cbsa_code, distance_to_cbd, sale_date_1::VARCHAR AS sale_date_1, sale_date_2::VARCHAR AS sale_date_2, sale_price_1, sale_price_2, {R('price_relative')} AS price_relative, {R('time_diff_years')} AS time_diff_years, {R('ln(1 + cagr)')} AS log_cagr"
 
 
 @query("SELECT * REPLACE (transaction_date::VARCHAR AS transaction_date) FROM tx")
@@ -274,10 +274,11 @@ def city_index(t, g, m):
 LEVELS = "lv AS (SELECT census_tract, year, 100 * exp(sum(appreciation) OVER (PARTITION BY census_tract ORDER BY year)) AS v FROM grown)"
 
 
-@query(f""", {LEVELS}, p AS (SELECT g.census_tract, y.year, last_value(v IGNORE NULLS) OVER (PARTITION BY g.census_tract ORDER BY y.year) AS v FROM geo g CROSS JOIN (SELECT unnest(range({S.start_year}, {S.end_year + 1}))::INT AS year) y LEFT JOIN lv USING (census_tract, year)),
- q AS (SELECT census_tract, year, coalesce(v, avg(v) OVER (PARTITION BY year), 100) AS v FROM p), n AS (SELECT census_tract, year, 100 * v / max(CASE WHEN year = {S.base_year} THEN v END) OVER (PARTITION BY census_tract) AS v FROM q)
- SELECT census_tract, year, {R('v')} AS index_value, {R('v / lag(v) OVER (PARTITION BY census_tract ORDER BY year) - 1')} AS yoy_change FROM n""")
-def tract_index_panel(t, g, m):
+PANEL = f"""WITH {LEVELS}, p AS (SELECT g.census_tract, y.year, last_value(v IGNORE NULLS) OVER (PARTITION BY g.census_tract ORDER BY y.year) AS v FROM geo g CROSS JOIN (SELECT unnest(range({S.start_year}, {S.end_year + 1}))::INT AS year) y LEFT JOIN lv USING (census_tract, year)),
+ q AS (SELECT census_tract, year, coalesce(v, avg(v) OVER (PARTITION BY year), 100) AS v FROM p), n AS (SELECT census_tract, year, 100 * v / max(CASE WHEN year = {S.base_year} THEN v END) OVER (PARTITION BY census_tract) AS v FROM q)"""
+
+
+def tract_panel_of(t, g):
     from pyspark.sql import Window
 
     w = Window.partitionBy("census_tract").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
@@ -285,6 +286,11 @@ def tract_index_panel(t, g, m):
     return indices.tract_panel(levels, g, S.start_year, S.end_year, S.base_year)
 
 
+@query(f"SELECT census_tract, year, {R('v')} AS index_value, {R('v / lag(v) OVER (PARTITION BY census_tract ORDER BY year) - 1')} AS yoy_change FROM ({PANEL} SELECT * FROM n)")
+def tract_index_panel(t, g, m):
+    return tract_panel_of(t, g)
+
+
 @query(f"SELECT cbsa_code, weight_type, year, {R('r')} AS yoy_change, {R('ln(index_value) - ln(lag(index_value) OVER k)')} AS log_appreciation, {R('power(index_value / first_value(index_value) OVER k, 1.0 / nullif(year - first_value(year) OVER k, 0)) - 1')} AS cagr FROM ret WINDOW k AS (PARTITION BY cbsa_code, weight_type ORDER BY year)")
 def index_changes(t, g, m):
     return indices.index_changes(_index(t, g, m), ["cbsa_code", "weight_type"])
@@ -401,16 +407,14 @@ def index_health(t, g, m):
     return validation.index_health(_index(t, g, m))
 
 
-@query(f"SELECT cbsa_code, year, round(sum(value_measure), 3) + 0.0 AS value_measure, round(sum(unit_measure), 3) + 0.0 AS unit_measure, round(sum(upb_measure), 3) + 0.0 AS upb_measure, {R('round(sum(college_share * unit_measure) / sum(unit_measure), 9)')} AS college_share, {R('round(sum(nonwhite_share * unit_measure) / sum(unit_measure), 9)')} AS nonwhite_share FROM measures GROUP BY ALL")
-def area_measures(t, g, m):
+def _shown_measures(df: DataFrame) -> DataFrame:
     sums = ("value_measure", "unit_measure", "upb_measure")  # near 1e9, where six decimals are beyond a double
-    own = areas.aggregate_measures(m).withColumns({c: F.round(c, 3) for c in sums})
-    return own.withColumns({c: F.round(c, 9) for c in ("college_share", "nonwhite_share")})  # 22.1 / 64 lies halfway between two results
+    return df.withColumns({c: F.round(c, 3) for c in sums} | {c: F.round(c, 9) for c in ("college_share", "nonwhite_share")})  # 22.1 / 64 lies halfway between two results
 
 
-@query()
-def supertract_measures(t, g, m):
-    return areas.aggregate_measures(m, areas.supertracts(_grid(t, g), g, S.min_half_pairs), ("cbsa_code", "year", "supertract_id"))
+@query(f"SELECT cbsa_code, year, round(sum(value_measure), 3) + 0.0 AS value_measure, round(sum(unit_measure), 3) + 0.0 AS unit_measure, round(sum(upb_measure), 3) + 0.0 AS upb_measure, {R('round(sum(college_share * unit_measure) / sum(unit_measure), 9)')} AS college_share, {R('round(sum(nonwhite_share * unit_measure) / sum(unit_measure), 9)')} AS nonwhite_share FROM measures GROUP BY ALL")
+def area_measures(t, g, m):
+    return _shown_measures(areas.aggregate_measures(m))
 
 
 @query(f"SELECT property_id, sale_date_1::VARCHAR AS sale_date_1, {R('price_relative / nullif(time_diff_years, 0)')} AS annual FROM good")
@@ -502,27 +506,135 @@ def bmn_index(t, g, m):
     return bmn.index_levels(_coefs(t), ["cbsa_code"], S.base_year)
 
 
-# Merging is sequential and the pipeline builds on it: no SQL; tested against a plain version and by invariants.
-@query()
-def supertracts(t, g, m):
+#: One merge a step and CBSA and year: the sparsest supertract (then the smallest id) joins the nearest (then the smallest id).
+_NEAR = HAV.format(a="own.lat", b="own.lon", c="x.lat", d="x.lon")
+SUPER = f""", lagged AS (SELECT *, lag(total_half_pairs) OVER (PARTITION BY census_tract, cbsa_code ORDER BY year) AS before FROM grid),
+merging(cbsa_code, year, a) AS (
+  SELECT cbsa_code, year, list({{'id': census_tract, 'ts': [census_tract], 'now': total_half_pairs::BIGINT, 'was': before::BIGINT, 'lat': centroid_lat::DOUBLE, 'lon': centroid_lon::DOUBLE}} ORDER BY census_tract)
+  FROM lagged JOIN geo USING (census_tract, cbsa_code) WHERE before IS NOT NULL GROUP BY cbsa_code, year
+  UNION ALL SELECT cbsa_code, year, list_append(list_filter(rest, lambda x: x.id <> other.id), {{'id': least(own.id, other.id), 'ts': list_sort(list_concat(own.ts, other.ts)), 'now': own.now + other.now, 'was': own.was + other.was,
+    'lat': (own.lat * len(own.ts) + other.lat * len(other.ts)) / (len(own.ts) + len(other.ts)), 'lon': (own.lon * len(own.ts) + other.lon * len(other.ts)) / (len(own.ts) + len(other.ts))}})
+  FROM (SELECT *, list_filter(rest, lambda x: x.id = near.id)[1] AS other FROM (SELECT *, list_sort(list_transform(rest, lambda x: {{'d': round({_NEAR}, 9), 'id': x.id}}))[1] AS near
+  FROM (SELECT *, list_filter(a, lambda x: x.id = sparse.id)[1] AS own, list_filter(a, lambda x: x.id <> sparse.id) AS rest FROM (
+  SELECT *, list_sort(list_transform(list_filter(a, lambda x: least(x.now, x.was) < {S.min_half_pairs}), lambda x: {{'n': least(x.now, x.was), 'id': x.id}}))[1] AS sparse FROM merging WHERE len(a) > 1) WHERE sparse IS NOT NULL)))),
+merged AS (SELECT cbsa_code, year, unnest(a) AS x FROM merging WHERE len(a) = 1 OR len(list_filter(a, lambda x: least(x.now, x.was) < {S.min_half_pairs})) = 0),
+lists AS (SELECT cbsa_code, year, x.id AS supertract_id, x.ts AS ts, least(x.now, x.was) AS min_half_pairs FROM merged),
+mapping AS (SELECT cbsa_code, year, supertract_id, unnest(ts) AS census_tract, len(ts)::INT AS n_tracts, min_half_pairs, min_half_pairs < {S.min_half_pairs} AS below_threshold FROM lists)
+"""
+
+
+def _mapping(t, g):
     return areas.supertracts(_grid(t, g), g, S.min_half_pairs)
 
 
-@query()
+@query(SUPER + "SELECT * FROM mapping")
+def supertracts(t, g, m):
+    return _mapping(t, g)
+
+
+@query(SUPER + "SELECT cbsa_code, year, supertract_id, array_to_string(ts, ',') AS tract_list, min_half_pairs FROM lists")
 def supertract_lists(t, g, m):
-    return areas.supertract_list(areas.supertracts(_grid(t, g), g, S.min_half_pairs))
+    return areas.supertract_list(_mapping(t, g)).withColumn("tract_list", F.array_join("tract_list", ","))
 
 
-@query()
+@query(SUPER + f"SELECT cbsa_code, year, supertract_id, count(*) AS n_tracts, sum(coalesce(total_half_pairs, 0))::BIGINT AS total_half_pairs, {R('avg(coalesce(total_half_pairs, 0))')} AS mean_half_pairs FROM mapping LEFT JOIN half USING (cbsa_code, census_tract, year) GROUP BY ALL")
 def supertract_statistics(t, g, m):
-    return areas.supertract_statistics(areas.supertracts(_grid(t, g), g, S.min_half_pairs), pairs.half_pairs(_good(t)))
+    return areas.supertract_statistics(_mapping(t, g), pairs.half_pairs(_good(t)))
 
 
-@query()
+@query(SUPER + f"SELECT cbsa_code, year, supertract_id, round(sum(value_measure), 3) + 0.0 AS value_measure, round(sum(unit_measure), 3) + 0.0 AS unit_measure, round(sum(upb_measure), 3) + 0.0 AS upb_measure, {R('round(sum(college_share * unit_measure) / sum(unit_measure), 9)')} AS college_share, {R('round(sum(nonwhite_share * unit_measure) / sum(unit_measure), 9)')} AS nonwhite_share FROM measures JOIN mapping USING (cbsa_code, census_tract, year) GROUP BY ALL")
+def supertract_measures(t, g, m):
+    return _shown_measures(areas.aggregate_measures(m, _mapping(t, g), ("cbsa_code", "year", "supertract_id")))
+
+
+@query(SUPER + f""", scored AS (SELECT a.cbsa_code, a.census_tract AS tract_1, b.census_tract AS tract_2, a.total_half_pairs + b.total_half_pairs AS total_half_pairs, distance FROM
+  (SELECT cbsa_code, census_tract, sum(total_half_pairs)::BIGINT AS total_half_pairs FROM grid GROUP BY ALL) a JOIN dist ON dist.tract_1 = a.census_tract JOIN (SELECT census_tract, sum(total_half_pairs)::BIGINT AS total_half_pairs FROM grid GROUP BY ALL) b ON b.census_tract = dist.tract_2 WHERE a.census_tract < b.census_tract)
+  SELECT cbsa_code, tract_1, tract_2, total_half_pairs, {R('total_half_pairs / (1 + distance)')} AS score FROM scored""")
+def merge_scores(t, g, m):
+    return areas.pair_scores(g, _grid(t, g))
+
+
+#: The pipeline: supertracts' cells, their regressions (areas of equal membership are one), weights, levels and panels.
+PIPELINE = SUPER + f""", spans AS (SELECT DISTINCT cbsa_code, array_to_string(ts, ',') AS area, unnest(ts) AS census_tract FROM lists WHERE year >= {S.start_year}),
+area_cells AS (SELECT area, y1, y2, count(*)::DOUBLE AS n, sum(price_relative) AS s, sum(price_relative * price_relative) AS ss FROM good JOIN spans USING (cbsa_code, census_tract) GROUP BY ALL)
+""" + SOLVE.replace("cbsa_code", "area").replace(SOLVE[SOLVE.index("SELECT cbsa_code, y1, y2, count") : SOLVE.index("),\nys AS")].replace("cbsa_code", "area"), f"SELECT * FROM area_cells QUALIFY sum(n) OVER (PARTITION BY area) >= {S.min_obs}") + f""",
+steps AS (SELECT area, year, appreciation FROM (SELECT area, year, delta - lag(delta) OVER k AS appreciation, lag(year) OVER k AS y0, part, lag(part) OVER k AS p0 FROM coef JOIN part USING (area, year) WINDOW k AS (PARTITION BY area ORDER BY year)) WHERE y0 = year - 1 AND part = p0),
+grown_areas AS (SELECT cbsa_code, l.year, supertract_id, appreciation FROM lists l JOIN steps ON area = array_to_string(ts, ',') AND steps.year = l.year WHERE l.year >= {S.start_year}),
+raws_a AS (SELECT cbsa_code, year, supertract_id, weight_type, sum(raw) AS raw FROM raws JOIN mapping USING (cbsa_code, census_tract, year) GROUP BY ALL),
+w_a AS (SELECT *, CASE WHEN sum(raw) OVER k > 0 THEN raw / sum(raw) OVER k ELSE 1.0 / count(*) OVER k END AS weight FROM raws_a WINDOW k AS (PARTITION BY cbsa_code, year, weight_type)),
+city_a AS (SELECT cbsa_code, year, weight_type, sum(weight * appreciation) / nullif(sum(weight), 0) AS appreciation FROM grown_areas JOIN w_a USING (cbsa_code, year, supertract_id) GROUP BY ALL),
+full_a AS (SELECT k.cbsa_code, k.weight_type, y.year, c.appreciation FROM (SELECT DISTINCT cbsa_code, weight_type FROM geo, (SELECT DISTINCT weight_type FROM raws)) k CROSS JOIN (SELECT unnest(range({S.start_year}, {S.end_year + 1}))::INT AS year) y LEFT JOIN city_a c USING (cbsa_code, weight_type, year)),
+logs_a AS (SELECT *, sum(CASE WHEN year > {S.start_year} THEN coalesce(appreciation, 0) ELSE 0 END) OVER (PARTITION BY cbsa_code, weight_type ORDER BY year) AS lg FROM full_a),
+idx_a AS (SELECT *, 100 * exp(lg - max(CASE WHEN year = {S.base_year} THEN lg END) OVER (PARTITION BY cbsa_code, weight_type)) AS index_value FROM logs_a),
+by_tract AS (SELECT census_tract, year, 100 * exp(sum(appreciation) OVER (PARTITION BY census_tract ORDER BY year)) AS v FROM mapping JOIN grown_areas USING (cbsa_code, year, supertract_id)),
+p AS (SELECT g.census_tract, y.year, last_value(v IGNORE NULLS) OVER (PARTITION BY g.census_tract ORDER BY y.year) AS v FROM geo g CROSS JOIN (SELECT unnest(range({S.start_year}, {S.end_year + 1}))::INT AS year) y LEFT JOIN by_tract USING (census_tract, year)),
+q AS (SELECT census_tract, year, coalesce(v, avg(v) OVER (PARTITION BY year), 100) AS v FROM p),
+tracts AS (SELECT census_tract, year, 100 * v / max(CASE WHEN year = {S.base_year} THEN v END) OVER (PARTITION BY census_tract) AS v FROM q)
+"""
+
+
+@query(PIPELINE + f"SELECT cbsa_code, weight_type, year, {R('appreciation')} AS appreciation, {R('index_value')} AS index_value, {R('index_value / lag(index_value) OVER (PARTITION BY cbsa_code, weight_type ORDER BY year) - 1')} AS yoy_change, count(appreciation) OVER (PARTITION BY cbsa_code, weight_type) = 0 AS is_default FROM idx_a")
 def index_pipeline_city(t, g, m):
     return IndexPipeline(t.sparkSession, S).run(t, g, m)["city_index"]
 
 
-@query()
+@query(PIPELINE + f"SELECT census_tract, year, {R('v')} AS index_value, {R('v / lag(v) OVER (PARTITION BY census_tract ORDER BY year) - 1')} AS yoy_change FROM tracts")
 def index_pipeline_tracts(t, g, m):
     return IndexPipeline(t.sparkSession, S).run(t, g, m)["tract_index"]
+
+
+@query(f"SELECT cbsa_code, weight_type, year, {R('appreciation')} AS appreciation, {R('index_value')} AS index_value, {R('index_value / lag(index_value) OVER (PARTITION BY cbsa_code, weight_type ORDER BY year) - 1')} AS yoy_change, is_default FROM (SELECT cbsa_code, weight_type, year, appreciation, coalesce(index_value, 100) AS index_value, count(appreciation) OVER (PARTITION BY cbsa_code, weight_type) = 0 AS is_default FROM (SELECT DISTINCT cbsa_code, weight_type FROM geo, (SELECT DISTINCT weight_type FROM raws)) CROSS JOIN (SELECT unnest(range({S.start_year}, {S.end_year + 1}))::INT AS year) LEFT JOIN (SELECT * FROM idx WHERE cbsa_code::INT % 5 <> 0) USING (cbsa_code, weight_type, year))")
+def default_index(t, g, m):
+    # Cities whose number ends in 0 or 5 have no appreciation here, and stay at the base.
+    return indices.city_index(_city(t, g, m).where("cast(cbsa_code as int) % 5 <> 0"), S.start_year, S.end_year, S.base_year, cities=g)
+
+
+@query(f"SELECT {PAIR} FROM good WHERE y1 >= 1996 AND y2 <= 1998")
+def regression_years(t, g, m):
+    return _shown(pairs.of_years(_good(t), 1996, 1998))
+
+
+@query(f"SELECT 'year' AS kind, y2::VARCHAR AS value, count(*) AS n_pairs, {R('avg(price_relative)')} AS mean_relative FROM good GROUP BY ALL UNION ALL SELECT 'census_tract', census_tract, count(*), {R('avg(price_relative)')} FROM good GROUP BY ALL")
+def pair_counts(t, g, m):
+    return pairs.pair_counts(_good(t))
+
+
+@query(f"SELECT count(*) AS n_pairs, count(DISTINCT property_id) AS n_properties, {R('count(*)::DOUBLE / nullif(count(DISTINCT property_id), 0)')} AS pairs_per_property, {R('avg(time_diff_years)')} AS mean_years, {R('quantile_cont(time_diff_years, 0.5)')} AS median_years, {R('min(time_diff_years)')} AS least_years, {R('max(time_diff_years)')} AS most_years, {R('avg(price_relative)')} AS mean_relative, {R('quantile_cont(price_relative, 0.5)')} AS median_relative, {R('stddev_samp(price_relative)')} AS std_relative FROM good")
+def repeat_sales_statistics(t, g, m):
+    return pairs.repeat_sales_statistics(_good(t))
+
+
+@query(f"SELECT census_tract, cbsa_code, year(transaction_date)::INT AS year, {R('round(sum(transaction_price) * 0.8, 3)')} AS upb_measure FROM tx JOIN (SELECT DISTINCT census_tract FROM geo WHERE distance_to_cbd <= 5) USING (census_tract) GROUP BY ALL")
+def balance_proxy(t, g, m):
+    own = indices.balance_proxy(t, g.where("distance_to_cbd <= 5"))
+    return own.withColumn("upb_measure", F.round("upb_measure", 3))
+
+
+@query(f"SELECT year, count(*) AS n_tracts, {R('avg(v)')} AS mean, {R('stddev_samp(v)')} AS std, {R('min(v)')} AS least, {R('max(v)')} AS most, {R('avg(r)')} AS mean_change FROM (SELECT *, v / lag(v) OVER (PARTITION BY census_tract ORDER BY year) - 1 AS r FROM ({PANEL} SELECT census_tract, year, v FROM n)) GROUP BY ALL")
+def panel_summary(t, g, m):
+    return indices.panel_summary(tract_panel_of(t, g))
+
+
+@query(f"SELECT {PAIR} FROM (SELECT *, avg(price_relative) OVER () AS a, stddev_pop(price_relative) OVER () AS s FROM pairs) WHERE coalesce(abs(price_relative - a) / nullif(s, 0) <= 2, true)")
+def zscore_global(t, g, m):
+    return _shown(pairs.zscore_filter(pairs.repeat_sales(t), "price_relative", 2.0, population=True))
+
+
+@query(f"SELECT cbsa_code, census_tract, {R('1.0 / count(*) OVER (PARTITION BY cbsa_code)')} AS weight FROM geo")
+def uniform_weights(t, g, m):
+    return areas.geographic_weights(g, "uniform")
+
+
+@query(f"SELECT tract_1, rank::INT AS rank, tract_2, {R('distance * 3959.0 / 6371.0')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tract_1 ORDER BY distance, tract_2) AS rank FROM dist WHERE distance * 3959.0 / 6371.0 <= 10) WHERE rank <= 3")
+def neighbors_within_miles(t, g, m):
+    return areas.nearest_neighbors(g, 3, 10.0, "mi")
+
+
+@query(f"SELECT * FROM measures WHERE year = 1997".replace("*", f"census_tract, cbsa_code, year, {R('value_measure')} AS value_measure, unit_measure, {R('upb_measure')} AS upb_measure, college_share, nonwhite_share"))
+def measures_of_year(t, g, m):
+    return T.of_year(m, 1997)
+
+
+@query("SELECT t.* REPLACE (transaction_date::VARCHAR AS transaction_date) FROM tx t SEMI JOIN (SELECT census_tract FROM geo WHERE distance_to_cbd <= 5) USING (census_tract) WHERE cbsa_code = '10007'")
+def transactions_in_area(t, g, m):
+    return T.in_area(t, "10007", g.where("distance_to_cbd <= 5")).select(t.columns)
