@@ -54,9 +54,10 @@ def filter_audit(pairs: DataFrame, s: Settings) -> DataFrame:
     return steps.withColumn("pct_removed", F.coalesce(100.0 * (F.col("rows_in") - F.col("rows_out")) / F.expr("nullif(rows_in, 0)"), F.lit(0.0)))
 
 
-def zscore_filter(df: DataFrame, column: str, threshold: float = 3.0, by: list[str] | None = None) -> DataFrame:
-    """Rows within ``threshold`` sample deviations of the mean (of their group). Moments are aggregated, then joined."""
-    moments = df.groupBy(*(by or [])).agg(F.avg(column).alias("__mean"), F.stddev_samp(column).alias("__std"))
+def zscore_filter(df: DataFrame, column: str, threshold: float = 3.0, by: list[str] | None = None, population: bool = False) -> DataFrame:
+    """Rows within ``threshold`` sample (or population) deviations of the mean (of their group). Moments are aggregated, then joined."""
+    deviation = F.stddev_pop if population else F.stddev_samp
+    moments = df.groupBy(*(by or [])).agg(F.avg(column).alias("__mean"), deviation(column).alias("__std"))
     joined = df.join(moments, by) if by else df.crossJoin(F.broadcast(moments))  # a single row without groups
     z = F.abs(F.col(column) - F.col("__mean")) / F.expr("nullif(__std, 0)")
     return joined.where(F.coalesce(z <= threshold, F.lit(True))).select(*df.columns)

@@ -76,8 +76,8 @@ def _good(t):
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    # Growth over a few days can pass 1e20, where engines' powers differ in the last digits; shown as ln(1 + cagr).
-    return df.withColumn("cagr", F.log1p("cagr")).withColumnRenamed("cagr", "log_cagr")
+    # Growth over a few days can pass 1e20, where decimals mean nothing; shown with ten significant digits.
+    return df.withColumn("cagr", F.when(F.col("cagr").isNotNull(), F.format_string("%.9e", "cagr")))
 
 
 def _grid(t, g):
@@ -100,7 +100,7 @@ def _index(t, g, m):
     return indices.city_index(_city(t, g, m), S.start_year, S.end_year, S.base_year)
 
 
-PAIR = f"property_id, census_tract, cbsa_code, distance_to_cbd, sale_date_1::VARCHAR AS sale_date_1, sale_date_2::VARCHAR AS sale_date_2, sale_price_1, sale_price_2, {R('price_relative')} AS price_relative, {R('time_diff_years')} AS time_diff_years, {R('ln(1 + cagr)')} AS log_cagr"
+PAIR = f"property_id, census_tract, cbsa_code, distance_to_cbd, sale_date_1::VARCHAR AS sale_date_1, sale_date_2::VARCHAR AS sale_date_2, sale_price_1, sale_price_2, {R('price_relative')} AS price_relative, {R('time_diff_years')} AS time_diff_years, replace(format('{{:.9e}}', cagr), 'inf', 'Infinity') AS cagr"
 
 
 @query("SELECT * REPLACE (transaction_date::VARCHAR AS transaction_date) FROM tx")
