@@ -34,7 +34,7 @@ def _text_view(data: np.ndarray, edges: np.ndarray, distinct: np.ndarray) -> np.
     """Square roots of trigram shares (unit rows), and the share of distinct words."""
     out = np.zeros((len(edges) - 1, TEXT + 1), np.float32)
     d = data.astype(np.uint32)
-    codes = ((d[:-2] * 0x9E3779B1 + d[1:-1] * 0x85EBCA6B + d[2:] * 0xC2B2AE35) >> 23).astype(np.int64) if len(d) > 2 else np.empty(0, np.int64)
+    codes = ((d[:-2] * 0x9E3779B1 + d[1:-1] * 0x85EBCA6B + d[2:] * 0xC2B2AE35) >> 23).astype(np.uint16) if len(d) > 2 else np.empty(0, np.uint16)
     for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
         if b - a > 2:
             out[i, :TEXT] = np.bincount(codes[a : b - 2], minlength=TEXT)
@@ -70,7 +70,7 @@ def views(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> Iterator[tuple
     lo = 0
     while lo < len(texts):
         raw, edges, distinct, hi = [], [0], [], lo
-        while hi < len(texts) and hi - lo < 2000 and edges[-1] < 8 << 20:
+        while hi < len(texts) and hi - lo < 500 and edges[-1] < 1 << 20:
             t = texts[hi].as_py().encode("utf-8", "surrogatepass")
             words = t.split()
             raw.append(t), edges.append(edges[-1] + len(t)), distinct.append(len(set(words)) / max(1, len(words)))

@@ -21,9 +21,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch: what a Python worker and the JVM beside it hold at once of long texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, at the first use of any operator; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     uri = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
@@ -81,6 +93,7 @@ class RangeReader:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

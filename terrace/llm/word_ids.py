@@ -66,7 +66,9 @@ class WordEncoder:
         """Ids of words: those of letters alone by the model itself, the others by the whole tokenizer."""
         ids, odd, tokenize = [], [], self._tokenizer.model.tokenize
         for i, w in enumerate(words):
-            if LETTERS.fullmatch(w):
+            if w.isascii() and w.isalpha():
+                ids.append(array("I", [t.id for t in tokenize(w.lower())]).tobytes())
+            elif LETTERS.fullmatch(w):
                 ids.append(array("I", [t.id for t in tokenize(w.lower().translate(BYTES))]).tobytes())
             else:
                 ids.append(b"")
