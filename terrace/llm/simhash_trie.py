@@ -184,6 +184,7 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: i
     more = [] if within is None else ["second"]
     rows = fps.select("node", "fp", *more, F.posexplode(names).alias("table", "name"))
     masks = [sum(((1 << cuts[i][1]) - 1) << cuts[i][0] for i in c) for c in combinations(range(blocks), agree)]
+    depth = np.array([64 - m.bit_count() for m in masks])
 
     def join_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The tries of one partition, sorted by (table, name); a trie may continue in the next batch."""
@@ -206,27 +207,37 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: i
             yield from done(pd.concat(held))
 
     def done(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        tables = pdf["table"].to_numpy()
-        node, fp = pdf["node"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        edge = np.flatnonzero(np.r_[True, tables[1:] != tables[:-1], True])
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            # One trie for the table: the agreeing bits lead, and pairs start at the nodes below them.
-            mask = masks[tables[lo]]
-            key = _compress(fp[lo:hi], mask, ~mask & (1 << 64) - 1)
-            order = np.argsort(key)
-            key, ids, second = key[order], node[lo:hi][order], None
-            if within is not None:
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                second = pdf["second"].to_numpy().view(np.uint64)[lo:hi][order], np.r_[first, len(key)]
-                key, ids = key[first], ids[first]
-            rest = 64 - mask.bit_count()
-            top = key >> np.uint64(rest)
-            starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            many = ends - starts > 1
-            roots = _walk(key, starts[many], ends[many], rest - 1, budget, second, within or 0)
-            member = roots != np.arange(len(roots))
-            yield pd.DataFrame({"a": ids[roots[member]], "b": ids[member]})
+        tables, names_ = pdf["table"].to_numpy(), pdf["name"].to_numpy()
+        fp = pdf["fp"].to_numpy().view(np.uint64)
+        trie = np.cumsum(np.r_[False, (tables[1:] != tables[:-1]) | (names_[1:] != names_[:-1])]).astype(np.uint64)
+        # A trie of one row links nothing.
+        rows_ = np.flatnonzero(np.bincount(trie.astype(np.int64))[trie.astype(np.int64)] > 1)
+        for rest in sorted(set(depth[tables[rows_]].tolist())):
+            own = rows_[depth[tables[rows_]] == rest]
+            # The bits that don't agree by the trie's name, below a number of the trie: tries of one depth are walked together.
+            low = np.empty(len(own), np.uint64)
+            for k in set(tables[own].tolist()):
+                at = tables[own] == k
+                low[at] = _compress(fp[own[at]], 0, ~masks[k] & (1 << 64) - 1)
+            number = np.unique(trie[own], return_inverse=True)[1]
+            for most in range(0, int(number[-1]) + 1, 1 << (64 - rest)):
+                part = (number >= most) & (number < most + (1 << (64 - rest)))
+                yield linked(pdf, own[part], (number[part] - most).astype(np.uint64) << np.uint64(rest) | low[part], rest)
+
+    def linked(pdf: pd.DataFrame, own: np.ndarray, key: np.ndarray, rest: int) -> pd.DataFrame:
+        order = np.argsort(key, kind="stable")
+        key, ids, second = key[order], pdf["node"].to_numpy()[own][order], None
+        if within is not None:
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            second = pdf["second"].to_numpy().view(np.uint64)[own][order], np.r_[first, len(key)]
+            key, ids = key[first], ids[first]
+        top = key >> np.uint64(rest)
+        starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        many = ends - starts > 1
+        roots = _walk(key, starts[many], ends[many], rest - 1, budget, second, within or 0)
+        member = roots != np.arange(len(roots))
+        return pd.DataFrame({"a": ids[roots[member]], "b": ids[member]})
 
     n = max(partitions(fps.sparkSession), 2 * fps.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(n, "table", "name").sortWithinPartitions("table", "name").mapInPandas(join_tries, "a long, b long")
