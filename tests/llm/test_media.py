@@ -6,6 +6,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,8 +165,7 @@ def test_law_tables():
     assert len(set(telephony_audio.ALAW_TABLE.tolist())) == 256 and len(set(telephony_audio.MULAW_TABLE.tolist())) == 255
 
 
-def test_adpcm_equals_a_plain_decoder():
-    data = np.random.default_rng(4).integers(0, 256, 64 * 20).astype(np.uint8)
+def plain_adpcm(data):
     want = []
     for b in data.reshape(-1, 64):
         sample, index = int(b[:2].copy().view("<i2")[0]), min(int(b[2]), 88)
@@ -178,9 +178,42 @@ def test_adpcm_equals_a_plain_decoder():
                 sample = max(-32768, min(32767, sample - diff if code & 8 else sample + diff))
                 index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
                 want.append(sample)
-    assert telephony_audio.adpcm_decode(data).tolist() == want
+    return want
 
 
+def test_adpcm_equals_a_plain_decoder():
+    data = np.random.default_rng(4).integers(0, 256, 64 * 20).astype(np.uint8)
+    assert telephony_audio.adpcm_decode(data).tolist() == plain_adpcm(data)
+
+
+def test_audio_features_equal_plain_ones(spark):
+    texts = [(1, "abc"), (2, None), (3, "é" * 500), (4, "some longer text of words " * 40)]
+    got = {r.doc_id: r for r in telephony_audio.features(telephony_audio.to_media(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    for i, text in texts:
+        payload = (text or "").encode()
+        payload += b"\0" * (64 - len(payload) % 64 if len(payload) % 64 or not payload else 0)
+        first = [int(telephony_audio.MULAW_TABLE[x]) for x in payload]
+        other = [int(telephony_audio.ALAW_TABLE[x]) for x in payload]
+        twice = []
+        for n in range(2 * len(first)):
+            low, odd = divmod(n, 2)
+            twice.append((first[low] + first[min(low + 1, len(first) - 1)]) // 2 if odd else first[low])
+        sounds = (first, other, plain_adpcm(np.frombuffer(payload, np.uint8)), twice)
+        figures = [(len(s), sum(x * x for x in s) // len(s), max(map(abs, s)), sum((a < 0) != (b < 0) for a, b in zip(s, s[1:], strict=False))) for s in sounds]
+        assert got[i].feature == ";".join(",".join(map(str, f)) for f in figures)
+        media = telephony_audio.wave(payload)
+        assert media.endswith(b"data" + len(payload).to_bytes(4, "little") + payload) and int.from_bytes(media[4:8], "little") == len(media) - 8
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_logistic_is_at_the_optimum():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 8)).astype(np.float32)
+    y = (x[:, 0] + rng.normal(size=700) > 0.3).astype(int)
+    w = co_training.logistic(x, y, 2.0)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (p - y) + 2.0 * w[:-1]).max() < 0.05 and abs((p - y).sum()) < 0.05
+
 def test_audio_round_trip(spark):
     texts = [(1, "abc"), (2, None), (3, ""), (None, "é" * 100), (4, "x" * 64), (4, "x" * 64), (5, "long " * 50000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("media", F.lit(1))
@@ -212,3 +245,67 @@ def test_pipeline_stages(spark):
     assert len(set(texts)) == len(texts) and not any("abababab" in (t or "") for t in texts)
     packed = cp.packing(spark, kept, sf)
     assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def plain_text_view(text):
+    """Shares of hashed byte trigrams, and of distinct words, one trigram at a time."""
+    data = (text or "").encode()
+    out = np.zeros(co_training.TEXT + 1)
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        out[((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & 0xFFFFFFFF) >> 23] += 1
+    out = np.sqrt(out / max(1, out.sum()))
+    words = data.split()
+    out[-1] = len(set(words)) / max(1, len(words))
+    return out
+
+
+def test_pipeline_equals_plain_stages(spark):
+    from test_text import plain_near, plain_spans
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+    from terrace.llm import secret_scan, word_ids
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = shared.written(cp.quality(spark, docs, sf), "quality")
+    model = co_training.train(docs, labels)
+    sure, unsure = set(), set()
+    for r in docs.collect():
+        ((_, _, m),) = co_training.views(*(pa.array([v], pa.string()) for v in (r.text, r.lang, r.source)))
+        p = float(model.score(plain_text_view(r.text)[None], m)[2][0])
+        if abs(p - 0.5) < 1e-4:
+            unsure.add(r.doc_id)
+        elif p >= 0.5:
+            sure.add(r.doc_id)
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    assert {i for i, _ in rows} - unsure == sure and len(rows) >= len(sure)
+
+    alone = shared.written(cp.near_dedup(spark, good, sf), "near")
+    groups = plain_near(rows)
+    want = {min(rows[i][0] for i in range(len(rows)) if groups[i] == g) for g in set(groups)}
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(want) and len(want) < len(rows)
+
+    clean = shared.written(cp.secrets(spark, alone, sf), "secrets")
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(alone).collect()}
+    new = {r.doc_id: r for r in clean.collect()}
+    marked = 0
+    for r in alone.collect():
+        own, text, out, at = spans[r.doc_id], r.text or "", "", 0
+        assert set(plain_spans(text)) <= set(own)
+        for start, _, stop in own:
+            if at == 0 or start >= at:
+                out += text[at:start] + "[secret]"
+            at = max(at, stop)
+        assert new[r.doc_id].text == (out + text[at:] if own else r.text)
+        assert new[r.doc_id].n_chars == (len(out + text[at:]) if own else r.n_chars)
+        marked += bool(own)
+    assert marked and len(new) == len(want)
+
+    packed = cp.packing(spark, clean, sf).toPandas()
+    tokenizer = Tokenizer.from_file(word_ids.default_path())
+    sizes = {i: 1 + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for i, r in new.items()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == sizes
+    packed = packed.sort_values(["sequence_id", "offset"])
+    ends = packed.offset + packed.length
+    assert (ends <= 2048).all() and ((packed.offset == 0) | (packed.offset == ends.shift())).all()
