@@ -37,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
 
-#: Training and tokenising can't be written in SQL; the pipeline is tested against a brute-force version.
+#: Training and tokenising can't be written in SQL; each stage is tested against a plain version of it.
 ORACLE_SQL = None
 
 
