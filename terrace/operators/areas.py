@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -92,25 +94,37 @@ def merge_tracts(pdf: pd.DataFrame, least: int, unit: str = "km") -> pd.DataFram
     """Supertracts of one CBSA and year.
 
     The sparsest supertract (then the smallest id) below ``least`` joins the nearest other (then the smallest id); a
-    merged one has its smallest tract's id, summed half-pairs of both years, and the mean of its tracts' centroids."""
-    pdf = pdf.sort_values("census_tract")
-    areas = {
-        r.census_tract: [[r.census_tract], int(r.now), int(r.before), r.centroid_lat, r.centroid_lon] for r in pdf.itertuples(index=False)
-    }  # id: tracts, half-pairs this year, last year, centroid
-    while len(areas) > 1:
-        sparse = min(((min(a[1], a[2]), k) for k, a in areas.items() if min(a[1], a[2]) < least), default=None)
-        if sparse is None:
-            break
-        own = areas.pop(sparse[1])
-        ids = sorted(areas)
-        d = _haversine(own[3], own[4], np.array([areas[i][3] for i in ids]), np.array([areas[i][4] for i in ids]), unit)
-        target = ids[int(np.argmin(np.round(d, 9)))]
-        other = areas.pop(target)
-        n, m = len(own[0]), len(other[0])
-        merged = [sorted(own[0] + other[0]), own[1] + other[1], own[2] + other[2], (own[3] * n + other[3] * m) / (n + m), (own[4] * n + other[4] * m) / (n + m)]
-        areas[merged[0][0]] = merged
+    merged one has its smallest tract's id, summed half-pairs of both years, and the mean of its tracts' centroids.
+    Of several rows of a tract the last counts."""
+    pdf = pdf.sort_values("census_tract", kind="stable").drop_duplicates("census_tract", keep="last")
+    ids = pdf["census_tract"].tolist()
+    now, before = (pdf[c].to_numpy(np.int64, copy=True) for c in ("now", "before"))
+    lat, lon = (pdf[c].to_numpy(float, copy=True) for c in ("centroid_lat", "centroid_lon"))
+    # An area is at the position of its smallest tract, as ids are in order.
+    tracts, alive = [[i] for i in range(len(ids))], np.ones(len(ids), bool)
+    fewest = lambda i: int(min(now[i], before[i]))
+    heap = [(fewest(i), i) for i in range(len(ids)) if fewest(i) < least]
+    heapq.heapify(heap)
+    left = len(ids)
+    while heap and left > 1:
+        sparse, own = heapq.heappop(heap)
+        if not alive[own] or sparse != fewest(own):
+            continue  # of an area that has merged since
+        d = np.round(_haversine(lat[own], lon[own], lat, lon, unit), 9)
+        d[~alive] = d[own] = np.inf
+        other = int(np.argmin(d))
+        n, m = len(tracts[own]), len(tracts[other])
+        kept, gone = min(own, other), max(own, other)
+        for x in (lat, lon):
+            x[kept] = (x[own] * n + x[other] * m) / (n + m)
+        for x in (now, before):
+            x[kept] = x[own] + x[other]
+        tracts[kept] = tracts[own] + tracts[other]
+        alive[gone], left = False, left - 1
+        if fewest(kept) < least:
+            heapq.heappush(heap, (fewest(kept), kept))
     year, cbsa = pdf["year"].iloc[0], pdf["cbsa_code"].iloc[0]
-    rows = [(cbsa, year, k, t, len(a[0]), min(a[1], a[2]), min(a[1], a[2]) < least) for k, a in areas.items() for t in a[0]]
+    rows = [(cbsa, year, ids[k], ids[t], len(tracts[k]), fewest(k), fewest(k) < least) for k in np.flatnonzero(alive) for t in sorted(tracts[k])]
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SUPERTRACT.split(", ")])
 
 

@@ -38,10 +38,12 @@ def fit_cells(y1: np.ndarray, y2: np.ndarray, n: np.ndarray, s: np.ndarray, ss:
         np.add.at(xx, (a, b), sign * n)
     np.add.at(xy, j, s)
     np.add.at(xy, i, -s)
-    part = np.arange(len(years))
-    for _ in years:
-        for a, b in zip(i, j, strict=True):
-            part[part == max(part[a], part[b])] = min(part[a], part[b])
+    # The smallest year spreads over each connected part until nothing changes.
+    part, before = np.arange(len(years)), None
+    while before is None or (part != before).any():
+        before = part.copy()
+        np.minimum.at(part, i, before[j])
+        np.minimum.at(part, j, before[i])
     inverse = np.linalg.inv(xx[1:, 1:] + ridge * np.eye(len(years) - 1))
     delta = np.r_[0.0, inverse @ xy[1:]]
     count = n.sum()

@@ -127,27 +127,44 @@ def two_year_minimum(grid: DataFrame) -> DataFrame:
     return grid.withColumn("before", before).where("before is not null").select("census_tract", "cbsa_code", "year", F.least("total_half_pairs", "before").alias("min_half_pairs"))
 
 
-def describe(column: str) -> list[Column]:
-    """Count, moments and interpolated quartiles."""
-    q = lambda p: F.percentile(column, F.lit(p))
-    values = (F.count(column), F.avg(column), F.stddev_samp(column), F.min(column), q(0.25), q(0.5), q(0.75), F.max(column))
+def half_pairs_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from cells by tract (census_tract, cbsa_code, year_1, year_2, n), without another pass over pairs."""
+    ends = cells.select("census_tract", "cbsa_code", F.explode(F.array("year_1", "year_2")).alias("year"), "n")
+    return ends.groupBy("census_tract", "cbsa_code", "year").agg(F.sum("n").alias("total_half_pairs"))
+
+
+def _quantile(column: str, p: float, accuracy: int | None) -> Column:
+    """Interpolated and exact, which holds all distinct values in one task; with ``accuracy``, a value whose rank is off by 1 / accuracy at most."""
+    return F.percentile_approx(column, p, accuracy) if accuracy else F.percentile(column, F.lit(p))
+
+
+def describe(column: str, accuracy: int | None = None) -> list[Column]:
+    """Count, moments and quartiles."""
+    q = lambda p: _quantile(column, p, accuracy)
+    values =(F.count(column), F.avg(column), F.stddev_samp(column), F.min(column), q(0.25), q(0.5), q(0.75), F.max(column))
     return [v.alias(n) for v, n in zip(values, DESCRIBE, strict=True)]
 
 
-def pair_statistics(pairs: DataFrame) -> DataFrame:
-    """One row of figures on a table of pairs."""
-    return pairs.agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("property_id").alias("n_properties"), F.countDistinct("census_tract").alias("n_tracts"),
-        F.countDistinct("cbsa_code").alias("n_cbsas"), F.avg("price_relative").alias("mean_relative"), F.percentile("price_relative", F.lit(0.5)).alias("median_relative"),
+def pair_statistics(pairs: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """One row of figures on a table of pairs. Distinct values are counted by grouping, so that no row is expanded for each of them.
+
+    The median is exact; a large table wants ``accuracy`` (say 10,000)."""
+    own = pairs.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("price_relative").alias("mean_relative"), _quantile("price_relative", 0.5, accuracy).alias("median_relative"),
         F.stddev_samp("price_relative").alias("std_relative"), F.avg("time_diff_years").alias("mean_years"), F.avg("cagr").alias("mean_cagr"),
         F.min("sale_date_1").alias("first_date"), F.max("sale_date_2").alias("last_date"),
     )
+    for c, name in (("property_id", "n_properties"), ("census_tract", "n_tracts"), ("cbsa_code", "n_cbsas")):
+        own = own.join(F.broadcast(pairs.select(c).distinct().agg(F.count(c).alias(name))))  # one row each
+    return own
+
 
+def repeat_sales_statistics(pairs: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Ten figures of a table of pairs. Distinct properties are counted by grouping, so that no task holds them all.
 
-def repeat_sales_statistics(pairs: DataFrame) -> DataFrame:
-    """Ten figures of a table of pairs. Distinct properties are counted by grouping, so that no task holds them all."""
+    Medians are exact; a large table wants ``accuracy`` (say 10,000)."""
     years, p = F.col("time_diff_years"), F.col("price_relative")
-    half = lambda c: F.percentile(c, F.lit(0.5))
+    half = lambda c: _quantile(c, 0.5, accuracy)
     own = pairs.agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg(years).alias("mean_years"), half("time_diff_years").alias("median_years"), F.min(years).alias("least_years"), F.max(years).alias("most_years"),
         F.avg(p).alias("mean_relative"), half("price_relative").alias("median_relative"), F.stddev_samp(p).alias("std_relative"),
@@ -168,8 +185,8 @@ def of_years(pairs: DataFrame, first: int, last: int) -> DataFrame:
     return pairs.where((F.year("sale_date_1") >= first) & (F.year("sale_date_2") <= last))
 
 
-def price_relative_summary(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return pairs.groupBy(*(by or [])).agg(*describe("price_relative"))
+def price_relative_summary(pairs: DataFrame, by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    return pairs.groupBy(*(by or [])).agg(*describe("price_relative", accuracy))
 
 
 def period_pair_panel(pairs: DataFrame, first: int, last: int) -> DataFrame:

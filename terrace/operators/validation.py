@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def index_health(index: DataFrame, schemes: int = 6, low: float = 50.0, high: fl
     return own.withColumn("ok", F.coalesce((F.col("negative") == 0) & (F.col("n_schemes") >= schemes) & (F.col("least") >= low) & (F.col("most") <= high), F.lit(False)))
 
 
+def every_check(checks: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, check_name, violations, ok) of the checks of several tables."""
+    named = [c.select(F.lit(name).alias("table_name"), "check_name", "violations", "ok") for name, c in checks.items()]
+    return functools.reduce(DataFrame.unionByName, named)
+
+
 def strict(checks: DataFrame) -> None:
     """Raise if a check fails; an action on a few rows."""
     if failed := [r.check_name for r in checks.where("not ok").collect()]:

@@ -39,20 +39,22 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 class IndexPipeline:
-    """Results are lazy; with a folder, pairs, cells, supertracts and appreciation are kept there by settings."""
+    """Results are lazy; with a folder, pairs, cells, supertracts and appreciation are kept there by settings and inputs."""
 
     def __init__(self, spark: SparkSession, settings: Settings, folder: str | None = None):
-        self.s = settings
-        self._stage = tables.Stages(spark, folder, settings).get if folder else lambda name, make: make()
+        self.spark, self.s, self.folder = spark, settings, folder
 
     def run(self, transactions: DataFrame, geography: DataFrame, measures: DataFrame) -> dict[str, DataFrame]:
-        s, stage = self.s, self._stage
+        s = self.s
+        stage = tables.Stages(self.spark, self.folder, s, (transactions, geography)).get if self.folder else lambda name, make: make()
         filtered = stage("pairs", lambda: pairs.apply_filters(pairs.repeat_sales(transactions), s))
-        halves = pairs.half_pairs(filtered)
-        grid = pairs.half_pair_grid(halves, geography, s.first_year, s.end_year)
+        # Everything but the pairs themselves comes from cells.
         cells = stage("cells", lambda: bmn.cells(filtered, ["cbsa_code", "census_tract"]))
+        halves = pairs.half_pairs_of_cells(cells)
+        grid = pairs.half_pair_grid(halves, geography, s.first_year, s.end_year)
         mapping = stage("supertracts", lambda: areas.supertracts(grid, geography, s.min_half_pairs, s.unit).where(F.col("year") >= s.start_year))
         grown = stage("appreciation", lambda: self.appreciation(cells, mapping))
+        # Stages hold what depends on transactions and geography; measures come in after them.
         weights = indices.weights(grid.where(F.col("year") >= s.start_year), measures, "supertract_id", s.schemes, mapping)
         city = indices.city_appreciation(grown, weights, "supertract_id")
         levels = indices.city_index(city, s.start_year, s.end_year, s.base_year, s.base_value, geography, s.schemes)
@@ -79,7 +81,7 @@ class IndexPipeline:
 
 
 def main(args: list[str] | None = None) -> None:
-    """Command line: read three Parquet inputs and write the city index by scheme and the tract index."""
+    """Command line: read three Parquet inputs and write the city index by scheme and the tract index. Sales of a property on one day are taken by price."""
     p = argparse.ArgumentParser(description=main.__doc__)
     for name in ("transactions", "geography", "measures", "output"):
         p.add_argument(f"--{name}", required=True)
@@ -87,7 +89,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--stages", help="a folder for stage outputs")
     a = p.parse_args(args)
     spark, s = session(), Settings.load(a.settings) if a.settings else Settings()
-    tx = tables.read(spark, a.transactions, tables.TRANSACTIONS).withColumn("tiebreak", F.xxhash64("transaction_price"))
+    tx = tables.read(spark, a.transactions, tables.TRANSACTIONS).withColumn("tiebreak", F.col("transaction_price"))
     with timed("index"):
         out = IndexPipeline(spark, s, a.stages).run(tx, tables.read(spark, a.geography, tables.GEOGRAPHY), tables.read(spark, a.measures, tables.MEASURES))
         tables.save_results(out["city_index"], {"settings": s.key()}, a.output)

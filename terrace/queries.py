@@ -638,3 +638,13 @@ def measures_of_year(t, g, m):
 @query("SELECT t.* REPLACE (transaction_date::VARCHAR AS transaction_date) FROM tx t SEMI JOIN (SELECT census_tract FROM geo WHERE distance_to_cbd <= 5) USING (census_tract) WHERE cbsa_code = '10007'")
 def transactions_in_area(t, g, m):
     return T.in_area(t, "10007", g.where("distance_to_cbd <= 5")).select(t.columns)
+
+
+CHECKED = {"transactions": "validate_transactions", "pairs": "validate_pairs", "geography": "validate_geography", "index": "validate_index"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS table_name, * FROM ({ORACLES[q][len(WITH) :]})" for k, q in CHECKED.items()))
+def validate_all(t, g, m):
+    return validation.every_check({
+        "transactions": validate_transactions(t, g, m), "pairs": validate_pairs(t, g, m), "geography": validate_geography(t, g, m), "index": validate_index(t, g, m),
+    })

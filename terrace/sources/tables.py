@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrace.config import DataError, Settings
 
@@ -22,12 +26,32 @@ MEASURES = _schema(
     "census_tract string, cbsa_code string, year int, value_measure double, unit_measure double, upb_measure double, college_share double, nonwhite_share double"
 )
 FORMATS = ("parquet", "csv", "json", "orc")
+#: Formats that are read only: Arrow's file format, which is also Feather's second version.
+READ_ONLY = ("arrow",)
+
+
+def _arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Arrow files; one task reads a file of 2 GB at most, in its record batches."""
+    wanted = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                names = pa.ipc.open_file(content.as_buffer()).schema.names
+                options = pa.ipc.IpcReadOptions(included_fields=[names.index(c) for c in wanted.names])
+                file = pa.ipc.open_file(content.as_buffer(), options=options)
+                for i in range(file.num_record_batches):
+                    yield from pa.Table.from_batches([file.get_batch(i)]).select(wanted.names).cast(wanted).to_batches(max_chunksize=65536)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", columns: list[str] | None = None) -> DataFrame:
     """A lazy scan with a declared schema; only ``columns`` are read."""
+    if fmt in READ_ONLY:
+        return _arrow(spark, path, schema if columns is None else T.StructType([schema[c] for c in columns]))
     if fmt not in FORMATS:
-        raise DataError(f"format must be one of {FORMATS}")
+        raise DataError(f"format must be one of {FORMATS + READ_ONLY}")
     frame = spark.read.schema(schema).format(fmt)
     frame = frame.option("header", True) if fmt == "csv" else frame
     return frame.load(path).select(*(columns or schema.names))
@@ -71,11 +95,45 @@ def schema_errors(df: DataFrame, schema: T.StructType) -> list[str]:
     return lost + [f"{f.name} is {got[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in schema.fields if f.name in got and not ok(got[f.name], f.dataType)]
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """Whole-number columns in the smallest of smallint, int and bigint that holds their values, found by one aggregation.
+
+    Columns of nulls alone, fractions and text stay: a float lacks the index's digits, and Parquet keeps repeated text in dictionaries."""
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ShortType | T.IntegerType | T.LongType)]
+    if not whole:
+        return df
+    ends = df.agg(*(end(f"`{c}`") for c in whole for end in (F.min, F.max))).first()
+    fits = lambda lo, hi, bits: -(1 << bits) <= lo and hi < 1 << bits
+    casts = {}
+    for c, lo, hi in zip(whole, ends[::2], ends[1::2], strict=True):
+        if lo is not None:
+            casts[c] = F.col(f"`{c}`").cast("smallint" if fits(lo, hi, 15) else "int" if fits(lo, hi, 31) else "bigint").alias(c)
+    return df.select(*(casts.get(c, F.col(f"`{c}`")) for c in df.columns))
+
+
+def _state(df: DataFrame) -> list:
+    """What a table's rows depend on: its plan, and its files' paths, sizes and times; without files, the plan's own hash."""
+    spark = df.sparkSession
+    most, shown = "spark.sql.debug.maxToStringFields", spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set(most, str(1 << 30))
+    try:
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        spark.conf.set(most, shown)
+    files = []
+    for uri in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append([uri, status.getLen(), status.getModificationTime()])
+    return [plan, files or df.semanticHash()]
+
+
 class Stages:
-    """Stage outputs as Parquet below ``folder``; the path holds the settings' hash, so other settings never reuse them."""
+    """Stage outputs as Parquet below ``folder``; the path holds a hash of the settings and the inputs, so others never reuse them."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings):
-        self.spark, self.folder = spark, f"{folder.rstrip('/')}/{settings.key()}"
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings, inputs: tuple[DataFrame, ...] = ()):
+        key = hashlib.sha256(json.dumps([settings.key(), *map(_state, inputs)]).encode()).hexdigest()[:16]
+        self.spark, self.folder = spark, f"{folder.rstrip('/')}/{key}"
 
     def get(self, name: str, make) -> DataFrame:
         path = f"{self.folder}/{name}"

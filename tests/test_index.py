@@ -5,10 +5,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.config import ConfigError, Settings
+from terrace.config import ConfigError, DataError, Settings
 from terrace.operators import areas, bmn, indices, pairs, validation
 from terrace.plans.pipeline import IndexPipeline, observed
 from terrace.sources import tables
@@ -167,3 +168,65 @@ def test_health_of_an_index(spark):
     own = spark.createDataFrame([(2000, f"w{k}", 100.0 + k) for k in range(6)], "year int, weight_type string, index_value double")
     assert validation.index_health(own).first().ok and not validation.index_health(own.where("weight_type <> 'w3'")).first().ok
     assert not validation.index_health(own.where("false")).first().ok
+
+
+def test_checks_of_all_tables_as_one_report(spark):
+    good = spark.createDataFrame([("a", 0, True)], "check_name string, violations long, ok boolean")
+    bad = spark.createDataFrame([("b", 3, False)], good.schema)
+    both = validation.every_check({"x": good, "y": bad})
+    assert {tuple(r) for r in both.collect()} == {("x", "a", 0, True), ("y", "b", 3, False)}
+    assert validation.report(both).splitlines() == ["ok   a: 0", "FAIL b: 3"]
+    validation.strict(good)
+    with pytest.raises(DataError, match="b"):
+        validation.strict(both)
+
+
+def test_stages_follow_settings_and_inputs(spark, tmp_path):
+    tables.save(tables.sample_transactions(spark, 20), f"file://{tmp_path}/in")
+    own = lambda: spark.read.parquet(f"file://{tmp_path}/in")
+    folder = lambda s, *inputs: tables.Stages(spark, f"file://{tmp_path}/out", s, inputs).folder
+    first = folder(Settings(), own())
+    assert first == folder(Settings(), own()) != folder(Settings(min_days=1), own())
+    assert first != folder(Settings(), own().where("transaction_price > 1"))
+    tables.save(tables.sample_transactions(spark, 30), f"file://{tmp_path}/in")
+    assert first != folder(Settings(), own())
+    assert folder(Settings(), spark.range(3)) != folder(Settings(), spark.range(4))
+    made = []
+    for _ in range(2):
+        stage = tables.Stages(spark, f"file://{tmp_path}/out", Settings(), (own(),))
+        assert stage.get("n", lambda: made.append(1) or spark.range(5)).count() == 5
+    assert made == [1]
+
+
+def test_arrow_files(spark, tmp_path):
+    table = pa.table({"more": [1, 2, 3], "census_tract": pa.array(["a", "b", None]).dictionary_encode(), "year": pa.array([1, 2, 3], pa.int64())})
+    with pa.ipc.new_file(f"{tmp_path}/t.arrow", table.schema) as out:
+        out.write_table(table, max_chunksize=2)
+    got = tables.read(spark, f"{tmp_path}/t.arrow", tables.MEASURES, "arrow", ["census_tract", "year"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1), ("b", 2), (None, 3)], key=str)
+    assert got.schema["year"].dataType == tables.MEASURES["year"].dataType
+    with pytest.raises(DataError):
+        tables.read(spark, f"{tmp_path}/t.arrow", tables.MEASURES, "other")
+
+
+def test_narrowed_columns(spark):
+    df = spark.createDataFrame([(1, 40000, 1 << 40, None, 0.5), (-5, None, 2, None, 1.5)], "a long, `b.c` long, d long, e long, f double")
+    got = tables.narrowed(df)
+    assert [t for _, t in got.dtypes] == ["smallint", "int", "bigint", "bigint", "double"]
+    assert got.columns == df.columns and got.collect() == df.collect()
+    assert tables.narrowed(df.where("false")).dtypes == df.dtypes
+
+
+def test_quantiles_of_large_tables(spark):
+    made = pairs.repeat_sales(tables.sample_transactions(spark, 3000))
+    for f in (pairs.pair_statistics, pairs.repeat_sales_statistics):
+        exact, near = f(made).first().asDict(), f(made, 10000).first().asDict()
+        assert exact["n_pairs"] == made.count() and near["median_relative"] == pytest.approx(exact["median_relative"], abs=0.05)
+        assert {k: v for k, v in exact.items() if "median" not in k} == pytest.approx({k: v for k, v in near.items() if "median" not in k})
+    assert pairs.price_relative_summary(made, accuracy=10000).first()["median"] == pytest.approx(exact["median_relative"], abs=0.05)
+
+
+def test_half_pairs_of_cells_are_those_of_pairs(spark):
+    made = pairs.apply_filters(pairs.repeat_sales(tables.sample_transactions(spark, 500)), Settings())
+    got = pairs.half_pairs_of_cells(bmn.cells(made, ["cbsa_code", "census_tract"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.half_pairs(made).collect()))
