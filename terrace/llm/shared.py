@@ -32,12 +32,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    ``options`` are the writer's own."""
     spark = df.sparkSession
     small_batches(spark)
     uri = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(uri)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 

@@ -186,6 +186,15 @@ def test_adpcm_equals_a_plain_decoder():
     assert telephony_audio.adpcm_decode(data).tolist() == plain_adpcm(data)
 
 
+def test_packed_pcm_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 64, 1001):
+        for pcm in (rng.integers(-32768, 32768, n).astype(np.int16), np.resize(np.array([-32768, 32767, 32767, -32768, 0], np.int16), n)):
+            assert (telephony_audio.unpack_pcm(telephony_audio.pack_pcm(pcm)) == pcm).all() and len(telephony_audio.pack_pcm(pcm)) == 2 * n
+    made = telephony_audio.resample(rng.integers(-32768, 32768, 500).astype(np.int16), 8000, 16000)
+    assert not any(telephony_audio.pack_pcm(made)[1000:])
+
+
 def test_audio_features_equal_plain_ones(spark):
     texts = [(1, "abc"), (2, None), (3, "é" * 500), (4, "some longer text of words " * 40)]
     got = {r.doc_id: r for r in telephony_audio.features(telephony_audio.to_media(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
