@@ -2,18 +2,21 @@
 
 The text view is a histogram of hashed byte trigrams and the share of distinct words; the metadata view is the
 row's language and source and the layout (length, lines, shares of character classes). Each view has a logistic
-regression. Over ``rounds`` each one labels the pool documents it is surest of, and these join the training
-set of the *other* view. Both are then calibrated on labelled rows held out from training, and a logistic
+regression. Over ``rounds`` each one labels the documents it is surest of, of all that have no label, and these join the
+training set of the *other* view. Both are then calibrated on labelled rows held out from training, and a logistic
 combination of the calibrated views scores every document.
 
-Fitting reads a sample with documented bounds (``labelled`` and ``pool`` rows, the smallest hashes of their
-ids); scoring reads the whole text of every document, batch by batch.
+A round's surest are found over the whole corpus: both views score every document, counts by margin (in hundredths)
+give the thresholds, and documents beyond these are labelled. Only what the regressions are fitted on is a sample of
+labelled rows with documented bounds: ``labelled`` given labels and ``pool`` of the labels exchanged, the smallest hashes
+of their ids (``pool`` other rows join them to standardise features). Labels of earlier rounds are found again from their
+weights and thresholds in each pass, so no state is joined to texts. Scoring reads the whole text of every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import table
+from terrace.llm.shared import table, written
 
 LABELLED, POOL, ROUNDS = 4000, 4000, 4
 TEXT, LANGS, SOURCES = 512, 16, 64
@@ -135,31 +138,61 @@ class Model:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(margin(np.stack(z, axis=1), self.combination))
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE) -> Model:
-    """``x``: the two views of all sample rows; ``y``: 1, 0, or -1 in the pool; ``held``: labelled rows for calibration."""
+#: Margins are counted in hundredths, up to this many on each side.
+LARGEST = 3000
+
+
+@dataclass
+class Rounds:
+    """What the rounds so far have fitted: features' scales, and of each round both views' weights and thresholds."""
+
+    center: list[np.ndarray]
+    scale: list[np.ndarray]
+    prior: float
+    weights: list[list[np.ndarray]]
+    cuts: list[list[tuple[int, int]]]  # a round's (least margin of good ones, largest of bad ones) for each view
+
+    def margins(self, x: tuple[np.ndarray, ...], r: int) -> list[np.ndarray]:
+        own = [margin((v - c) / s, w) for v, c, s, w in zip(x, self.center, self.scale, self.weights[r], strict=True)]
+        return [np.clip(np.rint(100 * m), -LARGEST, LARGEST).astype(np.int32) for m in own]
+
+    def labels(self, x: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Each view's training labels, given by the other view in the finished rounds: 1, 0 or -1."""
+        given = [np.full(len(x[0]), -1, np.int32) for _ in x]
+        for r, cuts in enumerate(self.cuts):
+            for i, (m, (good, bad)) in enumerate(zip(self.margins(x, r), cuts, strict=True)):
+                free = given[1 - i] < 0
+                given[1 - i][free & (m >= good)] = 1
+                given[1 - i][free & (m <= bad)] = 0
+        return given
+
+
+Pseudo = tuple[list[np.ndarray], list[np.ndarray]]
+
+
+def fit(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange: Callable[[Rounds], Pseudo], rounds: int = ROUNDS) -> Model:
+    """``x``: the two views of all sample rows; ``y``: 1, 0, or -1 without label; ``held``: labelled rows for calibration.
+
+    ``exchange`` ends a round: it adds the round's thresholds, and gives both views of rows labelled so far and each view's labels of them."""
     known = (y >= 0) & ~held
     if min((y[known] == c).sum() for c in (0, 1)) < 5 or min((y[held] == c).sum() for c in (0, 1)) < 2:
         labels = y[y >= 0]
         return Model([], [], [], [], np.zeros(3), float(labels.mean()) if len(labels) else 1.0)
     center = [v.mean(axis=0) for v in x]
     scale = [np.maximum(v.std(axis=0), 1e-3) for v in x]
-    x = [((v - c) / s).astype(np.float32) for v, c, s in zip(x, center, scale, strict=True)]
-    pool = np.flatnonzero(y < 0)
-    labels = [y.copy(), y.copy()]  # each view's own training labels
-    prior = float(y[known].mean())
-    ridge = (20.0, 2.0)
-    weights = []
+    standard = lambda views_: [((v - c) / s).astype(np.float32) for v, c, s in zip(views_, center, scale, strict=True)]
+    x = standard(x)
+    done = Rounds(center, scale, float(y[known].mean()), [], [])
+    more, given = [v[:0] for v in x], [y[:0], y[:0]]
     for r in range(rounds + 1):
-        weights = [logistic(v[t := (lab >= 0) & ~held], lab[t], k) for v, lab, k in zip(x, labels, ridge, strict=True)]
+        weights = []
+        for v, m, lab, k in zip(x, more, given, (20.0, 2.0), strict=True):
+            weights.append(logistic(np.concatenate([v[known], m[lab >= 0]]), np.concatenate([y[known], lab[lab >= 0]]), k))
         if r == rounds:
             break
-        for i in (0, 1):
-            p = sigmoid(margin(x[i][pool], weights[i]))
-            other = labels[1 - i]
-            for c, confidence, part in ((1, p, prior), (0, 1 - p, 1 - prior)):
-                free = np.flatnonzero((confidence >= sure) & (other[pool] < 0))
-                most = max(1, round(share * part * len(pool)))
-                other[pool[free[np.argsort(-confidence[free], kind="stable")[:most]]]] = c
+        done.weights.append(weights)
+        more, given = exchange(done)
+        more = standard(more)
     calibration, z = [], []
     for v, w in zip(x, weights, strict=True):
         m = margin(v[held], w)
@@ -169,37 +202,92 @@ def fit(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = ROUN
     return Model(center, scale, weights, calibration, logistic(np.stack(z, axis=1), y[held], 1e-1))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``labelled`` rows of ``labels`` (doc_id, quality) and ``pool`` other documents.
+def thresholds(counts: dict[int, int], n: int, prior: float, sure: float, share: float) -> tuple[int, int]:
+    """(least margin of good rows, largest of bad ones), in hundredths, from the number of free rows by margin.
 
-    Rows with a null id or label are left out; of several labels of one document the largest counts. The rows
-    with the smallest hashes of their ids are taken, which doesn't depend on partitions. With fewer than 5 labels to
-    fit on or 2 held out of either class nothing is fitted: the model is a constant, the mean label (1 without any)."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
-    chosen = one.select(F.col("doc_id").cast("long").alias("id"), "y").withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(labelled)
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lit(-1).alias("y"), key.alias("h"))
-    others = ids.join(one.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti").orderBy("h", "id").limit(pool)
-    sample = chosen.unionByName(others).select("id", "y", "h")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source").join(F.broadcast(sample), "id")
+    Of ``n`` rows about ``share`` are taken, good and bad as in the labels; rows of equal margin all are, and one margin at
+    least. None is taken that the view isn't ``sure`` of."""
+    least = int(np.ceil(100 * np.log(sure / (1 - sure))))
+    cuts = []
+    for sign, part in ((1, prior), (-1, 1 - prior)):
+        most, taken, cut = max(1, round(share * part * n)), 0, LARGEST + 1
+        for m in sorted((sign * m for m in counts if sign * m >= least), reverse=True):
+            taken += counts[sign * m]
+            if taken > most and cut <= LARGEST:
+                break
+            cut = m
+        cuts.append(sign * cut)
+    return cuts[0], cuts[1]
+
+
+FEATURED = "id long, h long, y int, y0 int, y1 int"
+
+
+def _featured(docs: DataFrame, sample: DataFrame) -> tuple[pa.Table, list[np.ndarray]]:
+    """The sample's rows (``FEATURED``) and both views of their texts, by hash: one row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, t, m in views(b.column(0), b.column(1), b.column(2)):
                 n = part.stop - part.start
                 lists = [pa.array(v.tobytes()[i * v.shape[1] * 4 : (i + 1) * v.shape[1] * 4] for i in range(n)) for v in (t, m)]
-                rest = [b.column(i).slice(part.start, n) for i in (3, 4, 5)]
-                yield pa.RecordBatch.from_arrays([*rest, *(x.cast(pa.binary()) for x in lists)], ["id", "y", "h", "t", "m"])
+                rest = [b.column(i).slice(part.start, n) for i in range(3, 8)]
+                yield pa.RecordBatch.from_arrays([*rest, *(x.cast(pa.binary()) for x in lists)], ["id", "h", "y", "y0", "y1", "t", "m"])
 
-    found = rows.select("text", "lang", "source", "id", "y", "h").mapInArrow(run, "id long, y int, h long, t binary, m binary").toArrow()
-    found = found.sort_by([(k, "ascending") for k in ("h", "id", "t")])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source").join(F.broadcast(sample), "id")
+    found = rows.select("text", "lang", "source", "id", "h", "y", "y0", "y1").mapInArrow(run, FEATURED + ", t binary, m binary").toArrow()
+    found = found.sort_by([(k, "ascending") for k in ("h", "id", "t", "m")])
     ids = found["id"].to_numpy()
-    found = found.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]][: len(ids)]))  # one row for each document
+    found = found.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]][: len(ids)]))
     widths = {"t": TEXT + 1, "m": LANGS + SOURCES + NUMBERS}
-    x = [np.frombuffer(b"".join(found[k].to_pylist()), np.float32).reshape(-1, n) for k, n in widths.items()]
+    return found, [np.frombuffer(b"".join(found[k].to_pylist()), np.float32).reshape(-1, n) for k, n in widths.items()]
+
+
+def _exchange(docs: DataFrame, labelled_ids: DataFrame, pool: int, sure: float, share: float) -> Callable[[Rounds], Pseudo]:
+    """A round over all documents without a label; each pass writes a few numbers a document."""
+
+    def round_(done: Rounds) -> Pseudo:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, *x in views(b.column(1), b.column(2), b.column(3)):
+                    columns = [*done.margins(x, len(done.cuts)), *done.labels(x)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), *map(pa.array, columns)], ["id", "q0", "q1", "y0", "y1"])
+
+        rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source")
+        scored = rows.mapInArrow(run, "id long, q0 int, q1 int, y0 int, y1 int").join(labelled_ids, "id", "left_anti")
+        scored = written(scored, "margins")
+        n = scored.count()
+        # One row for each margin and view.
+        counts = [dict(map(tuple, scored.where(f"y{1 - i} < 0").groupBy(f"q{i}").count().collect())) for i in (0, 1)]
+        cuts = [thresholds(c, n, done.prior, sure, share) for c in counts]
+        new = {f"y{1 - i}": F.expr(f"case when y{1 - i} >= 0 then y{1 - i} when q{i} >= {good} then 1 when q{i} <= {bad} then 0 else -1 end") for i, (good, bad) in enumerate(cuts)}
+        given = scored.withColumns(new).where("y0 >= 0 or y1 >= 0").groupBy("id").agg(F.max("y0").alias("y0"), F.max("y1").alias("y1"))
+        sample = given.select("id", F.xxhash64("id", F.lit(5)).alias("h"), F.lit(-1).alias("y"), "y0", "y1").orderBy("h", "id").limit(pool)
+        found, x = _featured(docs, written(sample, "exchanged"))
+        done.cuts.append(cuts)
+        return x, [found[k].to_numpy() for k in ("y0", "y1")]
+
+    return round_
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE) -> Model:
+    """Fit on at most ``labelled`` rows of ``labels`` (doc_id, quality) and ``pool`` rows labelled by the views, found over all documents.
+
+    Rows with a null id or label are left out; of several labels of one document the largest counts. The rows
+    with the smallest hashes of their ids are taken, which doesn't depend on partitions; of several rows of one id one is.
+    With fewer than 5 labels to fit on or 2 held out of either class nothing is fitted: the model is a constant, the
+    mean label (1 without any). Null and empty texts are like any other; other columns are ignored."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
+    key = F.xxhash64("id", F.lit(5))
+    chosen = one.withColumn("h", key).orderBy("h", "id").limit(labelled)
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lit(-1).alias("y")).withColumn("h", key)
+    others = ids.join(one.select("id"), "id", "left_anti").orderBy("h", "id").limit(pool)
+    none = F.lit(-1)
+    sample = chosen.unionByName(others).select("id", "h", "y", none.alias("y0"), none.alias("y1")).dropDuplicates(["id"])
+    found, x = _featured(docs, sample)
     y = found["y"].to_numpy()
     held = (y >= 0) & (np.cumsum(y >= 0) % 4 == 0)
-    return fit(x, y, held, rounds)
+    return fit(x, y, held, _exchange(docs, one.select("id"), pool, sure, share), rounds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

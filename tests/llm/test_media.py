@@ -141,6 +141,40 @@ def test_co_training_on_held_out_labels(spark):
     assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.97
 
 
+def test_thresholds_take_the_surest():
+    counts = {900: 3, 500: 4, 250: 9, 100: 50, -300: 2, -301: 1, -3000: 5}
+    assert co_training.thresholds(counts, 100, 0.8, 0.9, 0.1) == (500, -3000)  # 8 good at most, 2 bad at most: one margin at least
+    assert co_training.thresholds(counts, 1000, 0.5, 0.9, 0.1) == (250, -300)  # all that the view is sure of
+    assert co_training.thresholds({100: 5, -100: 5}, 10, 0.5, 0.9, 0.5) == (3001, -3001)  # sure of none
+    assert co_training.thresholds({}, 0, 0.5, 0.9, 0.5) == (3001, -3001)
+
+
+def test_exchanged_labels_cover_all_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rounds, seen = co_training._exchange(docs, labels.select(F.col("doc_id").alias("id")), 10**6, 0.9, 0.05), []
+    rng = np.random.default_rng(1)
+    widths = (co_training.TEXT + 1, co_training.LANGS + co_training.SOURCES + co_training.NUMBERS)
+    done = co_training.Rounds([np.zeros(w) for w in widths], [np.ones(w) for w in widths], 0.5, [], [])
+    rows = [r for r in docs.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").collect()]
+    batches = list(co_training.views(*(pa.array([r[k] for r in rows], pa.string()) for k in ("text", "lang", "source"))))
+    x = [np.concatenate([b[i] for b in batches]) for i in (1, 2)]
+    want = [np.full(len(rows), -1), np.full(len(rows), -1)]
+    for r in range(2):
+        done.weights.append([np.r_[rng.standard_normal(w) * 3, 0.0] for w in widths])
+        views, given = rounds(done)
+        # The plain way: the n-th surest free row, ties included.
+        for i, m in enumerate(done.margins(x, r)):
+            free = want[1 - i] < 0
+            good, bad = done.cuts[r][i]
+            assert good >= 220 and bad <= -220
+            want[1 - i][free & (m >= good)], want[1 - i][free & (m <= bad)] = 1, 0
+            most = max(1, round(0.025 * len(rows)))
+            assert (free & (m >= good)).sum() <= most or len(set(m[free & (m >= good)])) == 1
+        labelled = (want[0] >= 0) | (want[1] >= 0)
+        assert len(views[0]) == labelled.sum() > 0
+        assert all(sorted(g.tolist()) == sorted(w[labelled].tolist()) for g, w in zip(given, want, strict=True))
+
+
 def test_co_training_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None), (None, "x", "en", "s"), (2, "", "en", "s"), (2, "", "en", "s")], "doc_id long, text string, lang string, source string").withColumn("score", F.lit(9))
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
