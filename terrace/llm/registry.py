@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.llm import co_training, collision_knn, histogram_packing, piece_scan, secret_scan, separator_scan, simhash_trie, spelling_variants, style_tree, telephony_audio, warc_zstd
+from terrace.llm import co_training, collision_knn, histogram_packing, piece_scan, prefix_trie, quality_rules, secret_scan, separator_scan, simhash_trie, spelling_variants, style_tree, telephony_audio, warc_zstd
 
 QUERIES = {
     "op1_warc_dictionary": warc_zstd.op1_warc_dictionary,
@@ -15,8 +15,15 @@ QUERIES = {
     "op8_piece_scan": piece_scan.op8_piece_scan,
     "op9_telephony_audio": telephony_audio.op9_telephony_audio,
     "op10_simhash_near_dedup": simhash_trie.op10_simhash_near_dedup,
+    "op11_conversation_trie": prefix_trie.op11_conversation_trie,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
 #: The others are tested against brute force: they tokenise, train, search, parse HTML or hash with XXH64.
-ORACLES = {"op1_warc_dictionary": warc_zstd.ORACLE, "op6_secret_scan": secret_scan.oracle_sql(), "op12_spelling_variants": spelling_variants.ORACLE}
+ORACLES = {
+    "op1_warc_dictionary": warc_zstd.ORACLE,
+    "op6_secret_scan": secret_scan.oracle_sql(),
+    "op12_spelling_variants": spelling_variants.ORACLE,
+    "op13_quality_rules": quality_rules.oracle_sql(),
+}
