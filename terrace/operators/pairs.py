@@ -11,6 +11,13 @@ from terrace.functions.scalars import cagr, price_relative, years_between
 DESCRIBE = ("n", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
+def with_growth(both: DataFrame) -> DataFrame:
+    """``both`` ends of pairs with the log price difference, years between and growth a year."""
+    p1, p2, d1, d2 = (F.col(c) for c in ("sale_price_1", "sale_price_2", "sale_date_1", "sale_date_2"))
+    years = years_between(d1, d2)
+    return both.withColumns({"price_relative": price_relative(p1, p2), "time_diff_years": years, "cagr": cagr(p1, p2, years)})
+
+
 def repeat_sales(transactions: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
     """Consecutive sales of each property, with the first sale's tract: one shuffle, no join."""
     w = Window.partitionBy("property_id").orderBy("transaction_date", tiebreak)
@@ -20,9 +27,7 @@ def repeat_sales(transactions: DataFrame, tiebreak: str = "tiebreak") -> DataFra
         F.col("transaction_date").alias("sale_date_1"), later("transaction_date").alias("sale_date_2"),
         F.col("transaction_price").alias("sale_price_1"), later("transaction_price").alias("sale_price_2"),
     ).where("sale_date_2 is not null")
-    p1, p2, d1, d2 = (F.col(c) for c in ("sale_price_1", "sale_price_2", "sale_date_1", "sale_date_2"))
-    years = years_between(d1, d2)
-    return both.withColumns({"price_relative": price_relative(p1, p2), "time_diff_years": years, "cagr": cagr(p1, p2, years)})
+    return with_growth(both)
 
 
 def minimum_days(pairs: DataFrame, days: int) -> DataFrame:

@@ -10,6 +10,7 @@ from terrace.functions import scalars
 from terrace.operators import areas, bmn, indices, pairs, series, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
+from terrace.streaming.pairing import CellStream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -648,3 +649,14 @@ def validate_all(t, g, m):
     return validation.every_check({
         "transactions": validate_transactions(t, g, m), "pairs": validate_pairs(t, g, m), "geography": validate_geography(t, g, m), "index": validate_index(t, g, m),
     })
+
+
+@query(f"SELECT cbsa_code, y1 AS year_1, y2 AS year_2, count(*) AS n, {R('sum(price_relative)')} AS s, {R('sum(price_relative * price_relative)')} AS ss FROM good GROUP BY ALL")
+def streamed_cells(t, g, m):
+    # Sales come in four files that hold a property's sales in no order, so later batches end pairs of earlier ones.
+    spark = t.sparkSession
+    folder = T.shared_folder(spark, "streamed-cells")
+    t.withColumn("part", F.pmod(F.xxhash64("tiebreak"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(f"{folder}/sales")
+    cells = CellStream(spark, f"{folder}/cells", S)
+    cells.advance(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/sales"))
+    return cells.cells()

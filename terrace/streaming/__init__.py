@@ -1 +0,0 @@
-"""Streaming: the index has no streaming operators, so there are none here."""
