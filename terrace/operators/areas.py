@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.scalars import RADIUS, haversine
+from terrace.operators import nearby
 
 SUPERTRACT = "cbsa_code string, year int, supertract_id string, census_tract string, n_tracts int, min_half_pairs long, below_threshold boolean"
 
@@ -27,15 +28,21 @@ def _both_ways(distances: DataFrame) -> DataFrame:
     return distances.unionByName(distances.select("cbsa_code", F.col("tract_2").alias("tract_1"), F.col("tract_1").alias("tract_2"), "distance"))
 
 
-def nearest_neighbors(tracts: DataFrame, k: int = 5, most: float | None = None, unit: str = "km") -> DataFrame:
-    """The k nearest tracts of the same CBSA, with ties to the smaller id."""
+def nearest_neighbors(tracts: DataFrame, k: int = 5, most: float | None = None, unit: str = "km", same_cbsa: bool = True) -> DataFrame:
+    """The k nearest tracts of the same CBSA, with ties to the smaller id; of all CBSAs by a grid with ``same_cbsa=False``."""
+    if not same_cbsa:
+        found = nearby.nearest(tracts, k, unit=unit).select(F.col("id_1").alias("tract_1"), "rank", F.col("id_2").alias("tract_2"), "distance")
+        return found if most is None else found.where(F.col("distance") <= most)
     d = _both_ways(distance_matrix(tracts, unit))
     d = d if most is None else d.where(F.col("distance") <= most)
     rank = F.row_number().over(Window.partitionBy("tract_1").orderBy("distance", "tract_2"))
     return d.withColumn("rank", rank).where(F.col("rank") <= k).select("tract_1", "rank", "tract_2", "distance")
 
 
-def within_radius(tracts: DataFrame, radius: float, unit: str = "km") -> DataFrame:
+def within_radius(tracts: DataFrame, radius: float, unit: str = "km", same_cbsa: bool = True) -> DataFrame:
+    """(tract_1, tract_2, distance) of tracts of one CBSA; of all by a grid with ``same_cbsa=False``."""
+    if not same_cbsa:
+        return nearby.within(tracts, radius, unit=unit).select(F.col("id_1").alias("tract_1"), F.col("id_2").alias("tract_2"), "distance")
     return _both_ways(distance_matrix(tracts, unit)).where(F.col("distance") <= radius).select("tract_1", "tract_2", "distance")
 
 

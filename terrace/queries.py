@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.config import DRIVER as S
 from terrace.functions import scalars
-from terrace.operators import areas, bmn, indices, pairs, series, validation
+from terrace.operators import areas, bmn, indices, nearby, pairs, series, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 from terrace.streaming.pairing import CellStream
@@ -660,3 +660,33 @@ def streamed_cells(t, g, m):
     cells = CellStream(spark, f"{folder}/cells", S)
     cells.advance(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/sales"))
     return cells.cells()
+
+
+def _properties(t, g):
+    """Each property at a place near its tract's centroid."""
+    own = t.select("property_id", "census_tract").distinct().join(g.select("census_tract", "centroid_lat", "centroid_lon"), "census_tract")
+    moved = lambda c, by: F.col(c) + F.pmod(F.col("property_id").cast("long") * by, F.lit(1000)) / 1000.0 * 0.4 - 0.2
+    return own.select("property_id", "census_tract", moved("centroid_lat", 7919).alias("lat"), moved("centroid_lon", 104729).alias("lon"))
+
+
+#: All pairs of properties, of every CBSA.
+APART = f""", places AS (SELECT property_id, census_tract, centroid_lat + property_id::BIGINT * 7919 % 1000 / 1000.0::DOUBLE * 0.4 - 0.2 AS lat, centroid_lon + property_id::BIGINT * 104729 % 1000 / 1000.0::DOUBLE * 0.4 - 0.2 AS lon
+  FROM (SELECT DISTINCT property_id, census_tract FROM tx) JOIN geo USING (census_tract)),
+apart AS (SELECT a.property_id AS id_1, b.property_id AS id_2, {HAV.format(a="a.lat", b="a.lon", c="b.lat", d="b.lon")} AS distance FROM places a JOIN places b ON a.property_id <> b.property_id)
+"""
+
+
+@query(APART + f"SELECT id_1, rank::INT AS rank, id_2, {R('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY round(distance, 9), id_2) AS rank FROM apart) WHERE rank <= 3")
+def nearest_properties(t, g, m):
+    return nearby.nearest(_properties(t, g), 3, "property_id", "lat", "lon")
+
+
+@query(APART + f"SELECT id_1, id_2, {R('distance')} AS distance FROM apart WHERE distance <= 12")
+def properties_in_radius(t, g, m):
+    return nearby.within(_properties(t, g), 12.0, "property_id", "lat", "lon")
+
+
+@query(f"SELECT tract_1, rank::INT AS rank, tract_2, {R('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tract_1 ORDER BY round(distance, 9), tract_2) AS rank FROM (SELECT a.census_tract AS tract_1, b.census_tract AS tract_2, {HAV.format(a='a.centroid_lat', b='a.centroid_lon', c='b.centroid_lat', d='b.centroid_lon')} AS distance FROM geo a JOIN geo b ON a.census_tract <> b.census_tract)) WHERE rank <= 6")
+def nearest_tracts(t, g, m):
+    # Six: tracts have four others in their CBSA, so that neighbours across its border come in.
+    return areas.nearest_neighbors(g, 6, same_cbsa=False)
