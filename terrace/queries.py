@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.config import DRIVER as S
 from terrace.functions import scalars
-from terrace.operators import areas, bmn, indices, nearby, pairs, series, validation
+from terrace.operators import areas, bmn, indices, nearby, pairs, series, sparse_fit, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 from terrace.streaming.pairing import CellStream
@@ -690,3 +690,16 @@ def properties_in_radius(t, g, m):
 def nearest_tracts(t, g, m):
     # Six: tracts have four others in their CBSA, so that neighbours across its border come in.
     return areas.nearest_neighbors(g, 6, same_cbsa=False)
+
+
+#: Quarters for years, regions of five CBSAs for one: the dense elimination over a few dozen periods.
+_CELLS = SOLVE[SOLVE.index("SELECT cbsa_code, y1, y2, count") : SOLVE.index("),\nys AS")]
+QUARTERS = f""", quarter_cells AS (SELECT ((cbsa_code::INT - 10000) // 5)::INT AS area, y1 * 4 + quarter(sale_date_1) - 1 AS y1, y2 * 4 + quarter(sale_date_2) - 1 AS y2, count(*)::DOUBLE AS n, sum(price_relative) AS s, sum(price_relative * price_relative) AS ss FROM good GROUP BY ALL)
+""" + SOLVE.replace(_CELLS, f"SELECT * FROM quarter_cells WHERE y1 <> y2 QUALIFY sum(n) OVER (PARTITION BY cbsa_code) >= {S.min_obs}").replace("cbsa_code", "area")
+
+
+@query(QUARTERS + f"SELECT area, year::INT AS period, {R('delta')} AS delta, true AS converged FROM coef")
+def bmn_quarterly(t, g, m):
+    own = _good(t).withColumn("area", F.expr("(cast(cbsa_code as int) - 10000) div 5").cast("int"))
+    found = sparse_fit.coefficients(sparse_fit.period_cells(own, ["area"], "quarter"), ["area"], S.ridge, S.min_obs)
+    return found.select("area", "period", "delta", (F.col("residual") <= 1e-11).alias("converged"))
