@@ -235,10 +235,10 @@ def _featured(docs: DataFrame, sample: DataFrame) -> tuple[pa.Table, list[np.nda
                 yield pa.RecordBatch.from_arrays([*rest, *(x.cast(pa.binary()) for x in lists)], ["id", "h", "y", "y0", "y1", "t", "m"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source").join(F.broadcast(sample), "id")
-    found = rows.select("text", "lang", "source", "id", "h", "y", "y0", "y1").mapInArrow(run, FEATURED + ", t binary, m binary").toArrow()
-    found = found.sort_by([(k, "ascending") for k in ("h", "id", "t", "m")])
-    ids = found["id"].to_numpy()
-    found = found.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]][: len(ids)]))
+    found = rows.select("text", "lang", "source", "id", "h", "y", "y0", "y1").mapInArrow(run, FEATURED + ", t binary, m binary")
+    # Rows of one id, however many, become one before they reach the driver: the one of the smallest views.
+    found = found.groupBy("id", "h", "y", "y0", "y1").agg(F.min(F.struct("t", "m")).alias("v")).select("id", "h", "y", "y0", "y1", "v.t", "v.m")
+    found = found.toArrow().sort_by([(k, "ascending") for k in ("h", "id")])
     widths = {"t": TEXT + 1, "m": LANGS + SOURCES + NUMBERS}
     return found, [np.frombuffer(b"".join(found[k].to_pylist()), np.float32).reshape(-1, n) for k, n in widths.items()]
 

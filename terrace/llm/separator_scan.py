@@ -46,7 +46,9 @@ def encoding(path: str):
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all texts (null: empty) to token files below ``folder``; returns (file, ordinal, doc_id), written.
 
-    The table is only the caller's record of which document is the n-th of a file; ``scan`` doesn't need it."""
+    The table is only the caller's record of which document is the n-th of a file; ``scan`` doesn't need it. Null ids stay, repeated
+    rows are written again, other columns are ignored, an empty table writes no file. A vocabulary whose ids pass 16 bits, or that
+    has the separator among them, fails."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, file_ids
                 if out is None:
                     out, n, ids_written = AttemptFile(folder, "tokens", ".u16"), 0, 0
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass").decode("utf-8", "replace")
-                ids = np.append(encode(text, allowed_special=set(), disallowed_special=()), SEPARATOR).astype("<u2")
+                ids = encode(text, allowed_special=set(), disallowed_special=())
+                if len(ids) and (ids.max() > 0xFFFF or (ids == SEPARATOR).any()):
+                    raise ValueError(f"{path}: token files hold ids up to 65535, and {SEPARATOR} ends documents")
+                ids = np.append(ids, SEPARATOR).astype("<u2")
                 out.write(memoryview(ids).cast("B"))
                 names.append(out.name), ordinals.append(n)
                 n, ids_written = n + 1, ids_written + len(ids)
