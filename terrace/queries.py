@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.config import DRIVER as S
 from terrace.functions import scalars
-from terrace.operators import areas, bmn, indices, nearby, pairs, series, sparse_fit, validation
+from terrace.operators import areas, bmn, indices, nearby, pairs, series, sketches, sparse_fit, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 from terrace.streaming.pairing import CellStream
@@ -198,7 +198,7 @@ def two_year_minimum(t, g, m):
 
 @query(f"SELECT count(*) AS n_pairs, count(DISTINCT property_id) AS n_properties, count(DISTINCT census_tract) AS n_tracts, count(DISTINCT cbsa_code) AS n_cbsas, {R('avg(price_relative)')} AS mean_relative, {R('quantile_cont(price_relative, 0.5)')} AS median_relative, {R('stddev_samp(price_relative)')} AS std_relative, {R('avg(time_diff_years)')} AS mean_years, {R('avg(cagr)')} AS mean_cagr, min(sale_date_1)::VARCHAR AS first_date, max(sale_date_2)::VARCHAR AS last_date FROM good")
 def pair_statistics(t, g, m):
-    return pairs.pair_statistics(_good(t))
+    return pairs.pair_statistics(_good(t), accuracy=None)
 
 
 @query(f"SELECT cbsa_code, count(*) AS n, {R('avg(price_relative)')} AS mean, {R('stddev_samp(price_relative)')} AS std, {R('min(price_relative)')} AS min, {R('quantile_cont(price_relative, 0.25)')} AS p25, {R('quantile_cont(price_relative, 0.5)')} AS median, {R('quantile_cont(price_relative, 0.75)')} AS p75, {R('max(price_relative)')} AS max FROM good GROUP BY ALL")
@@ -602,7 +602,7 @@ def pair_counts(t, g, m):
 
 @query(f"SELECT count(*) AS n_pairs, count(DISTINCT property_id) AS n_properties, {R('count(*)::DOUBLE / nullif(count(DISTINCT property_id), 0)')} AS pairs_per_property, {R('avg(time_diff_years)')} AS mean_years, {R('quantile_cont(time_diff_years, 0.5)')} AS median_years, {R('min(time_diff_years)')} AS least_years, {R('max(time_diff_years)')} AS most_years, {R('avg(price_relative)')} AS mean_relative, {R('quantile_cont(price_relative, 0.5)')} AS median_relative, {R('stddev_samp(price_relative)')} AS std_relative FROM good")
 def repeat_sales_statistics(t, g, m):
-    return pairs.repeat_sales_statistics(_good(t))
+    return pairs.repeat_sales_statistics(_good(t), accuracy=None)
 
 
 @query(f"SELECT census_tract, cbsa_code, year(transaction_date)::INT AS year, {R('round(sum(transaction_price) * 0.8, 3)')} AS upb_measure FROM tx JOIN (SELECT DISTINCT census_tract FROM geo WHERE distance_to_cbd <= 5) USING (census_tract) GROUP BY ALL")
@@ -703,3 +703,24 @@ def bmn_quarterly(t, g, m):
     own = _good(t).withColumn("area", F.expr("(cast(cbsa_code as int) - 10000) div 5").cast("int"))
     found = sparse_fit.coefficients(sparse_fit.period_cells(own, ["area"], "quarter"), ["area"], S.ridge, S.min_obs)
     return found.select("area", "period", "delta", (F.col("residual") <= 1e-11).alias("converged"))
+
+
+@query(f"""SELECT kind, value, count(*) AS n_pairs, {R('avg(price_relative)')} AS mean, {R('stddev_samp(price_relative)')} AS std, {R('min(price_relative)')} AS min, {R('max(price_relative)')} AS max, true AS p25_ok, true AS median_ok, true AS p75_ok, true AS properties_ok
+ FROM (SELECT 'cbsa' AS kind, cbsa_code AS value, price_relative FROM good UNION ALL SELECT 'year', y2::VARCHAR, price_relative FROM good UNION ALL SELECT 'all', 'all', price_relative FROM good) GROUP BY ALL""")
+def sketch_figures(t, g, m):
+    """Three groupings from one stored table of sketches, each quartile held against the ranks of all pairs."""
+    spark = t.sparkSession
+    own = _good(t).select("property_id", "cbsa_code", F.year("sale_date_2").cast("string").alias("year"), "price_relative")
+    path = T.shared_folder(spark, "sketches")
+    sketches.sketched(own, ["cbsa_code", "year"]).write.parquet(path)
+    table, found = spark.read.parquet(path), []
+    for kind, column in (("cbsa", F.col("cbsa_code")), ("year", F.col("year")), ("all", F.lit("all"))):
+        said = sketches.figures(sketches.merged(table.withColumn("value", column), ["value"]), ["value"])
+        exact = own.withColumn("value", column).join(said.select("value", "p25", "median", "p75"), "value").groupBy("value").agg(
+            F.countDistinct("property_id").alias("distinct"), *(F.struct(F.count_if(F.col("price_relative") < F.col(q)).alias("under"), F.count_if(F.col("price_relative") <= F.col(q)).alias("upto")).alias(f"r_{q}") for q in ("p25", "median", "p75"))
+        )
+        e = sketches.rank_error()
+        ok = lambda q, p: ((F.col(f"r_{q}.under") <= (p + e) * F.col("n_pairs")) & (F.col(f"r_{q}.upto") >= (p - e) * F.col("n_pairs"))).alias(f"{q}_ok")
+        close = F.abs(F.col("n_properties") - F.col("distinct")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("distinct"))
+        found.append(said.join(exact, "value").select(F.lit(kind).alias("kind"), "value", "n_pairs", "mean", "std", "min", "max", ok("p25", 0.25), ok("median", 0.5), ok("p75", 0.75), close.alias("properties_ok")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
