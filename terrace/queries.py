@@ -10,6 +10,7 @@ from terrace.functions import scalars
 from terrace.operators import areas, bmn, indices, nearby, pairs, series, sketches, sparse_fit, validation
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
+from terrace.sources import validated
 from terrace.streaming.pairing import CellStream
 
 QUERIES: dict = {}
@@ -724,3 +725,19 @@ def sketch_figures(t, g, m):
         close = F.abs(F.col("n_properties") - F.col("distinct")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("distinct"))
         found.append(said.join(exact, "value").select(F.lit(kind).alias("kind"), "value", "n_pairs", "mean", "std", "min", "max", ok("p25", 0.25), ok("median", 0.5), ok("p75", 0.75), close.alias("properties_ok")))
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+SALE_RULES = validated.TRANSACTION_RULES | {"transaction_date": "transaction_date < date '2000-12-31'", "transaction_price": "transaction_price between 2000 and 200000"}
+
+
+_BREAKS = {
+    "property_id": "property_id IS NULL OR property_id = ''", "census_tract": "census_tract IS NULL OR census_tract = ''", "cbsa_code": "NOT regexp_matches(cbsa_code, '^[0-9]{5}$')",
+    "transaction_date": "NOT transaction_date < DATE '2000-12-31'", "transaction_price": "NOT transaction_price BETWEEN 2000 AND 200000", "distance_to_cbd": "distance_to_cbd < 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS violations FROM tx" for n, c in [*_BREAKS.items(), ("good_rows", "NOT (" + " OR ".join(_BREAKS.values()) + ")")]))
+def quarantined_transactions(t, g, m):
+    # What each rule sends to quarantine, and what is left, from one pass that writes both parts.
+    found = validated.split(t, SALE_RULES, T.shared_folder(t.sparkSession, "validated"))
+    return validated.rule_counts(found.bad, SALE_RULES).unionByName(found.good.agg(F.lit("good_rows").alias("rule"), F.count(F.lit(1)).alias("violations")))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrace.config import DataError, Settings
+from terrace.sources import validated
 
 
 def _schema(text: str) -> T.StructType:
@@ -48,8 +49,16 @@ def _arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", columns: list[str] | None = None) -> DataFrame:
-    """A lazy scan with a declared schema; only ``columns`` are read."""
+def read(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", columns: list[str] | None = None, rules: dict[str, str] | None = None, quarantine: str | None = None
+) -> DataFrame:
+    """A lazy scan with a declared schema; only ``columns`` are read.
+
+    With ``rules`` the input is split at once: rows that meet them come back, the others stay in ``quarantine`` with what they break."""
+    if rules is not None:
+        if quarantine is None:
+            raise DataError("rules need a folder for the rows that break them")
+        return validated.load(spark, path, schema, rules, quarantine, fmt).good.select(*(columns or schema.names))
     if fmt in READ_ONLY:
         return _arrow(spark, path, schema if columns is None else T.StructType([schema[c] for c in columns]))
     if fmt not in FORMATS:
