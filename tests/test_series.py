@@ -66,3 +66,15 @@ def test_groups(spark):
 def test_queries(spark, name):
     rows = entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.n > 0 for r in rows)
+
+
+def test_p_values_against_published_points():
+    # Asymptotic points with a constant at 1, 5 and 10 % (MacKinnon 2010), for one series and for two.
+    for surface, points in ((series.ONE_P, (-3.43035, -2.86154, -2.56677)), (series.TWO_P, (-3.89644, -3.33613, -3.04445))):
+        for point, share in zip(points, (0.01, 0.05, 0.10), strict=True):
+            assert series.unit_root_p(point, surface) == pytest.approx(share, rel=0.04)
+        at = [series.unit_root_p(x / 50, surface) for x in range(-1000, 300)]
+        assert all(a <= b + 1e-3 for a, b in zip(at, at[1:], strict=False)) and at[0] == 0 and at[-1] == 1
+        # Both polynomials agree where they meet.
+        assert series.unit_root_p(surface["turn"] + 1e-9, surface) == pytest.approx(series.unit_root_p(surface["turn"], surface), abs=0.01)
+    assert [series.level_p(x) for x in (0.1, 0.347, 0.405, 0.463, 0.739, 2.0)] == pytest.approx([0.1, 0.1, 0.075, 0.05, 0.01, 0.01])
