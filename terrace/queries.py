@@ -11,6 +11,7 @@ from terrace.operators import areas, bmn, indices, nearby, pairs, series, sketch
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 from terrace.sources import validated
+from terrace.sources.snapshots import SnapshotTable
 from terrace.streaming.pairing import CellStream
 
 QUERIES: dict = {}
@@ -741,3 +742,14 @@ def quarantined_transactions(t, g, m):
     # What each rule sends to quarantine, and what is left, from one pass that writes both parts.
     found = validated.split(t, SALE_RULES, T.shared_folder(t.sparkSession, "validated"))
     return validated.rule_counts(found.bad, SALE_RULES).unionByName(found.good.agg(F.lit("good_rows").alias("rule"), F.count(F.lit(1)).alias("violations")))
+
+
+@query(f"SELECT version, census_tract, year, round(value_measure, 3) + 0.0 AS value_measure FROM (SELECT 1 AS version, census_tract, year, value_measure FROM measures WHERE year <= 1998 UNION ALL SELECT 2, census_tract, year, CASE WHEN year >= 1997 THEN value_measure * 2 ELSE value_measure END FROM measures)")
+def measure_snapshots(t, g, m):
+    # Years up to 1998 first; then those from 1997 on, doubled: an upsert, with the state before it still there.
+    own = m.select("census_tract", "year", "value_measure")
+    table = SnapshotTable(t.sparkSession, T.shared_folder(t.sparkSession, "measures"))
+    table.replace(own.where("year <= 1998"))
+    table.upsert(own.where("year >= 1997").withColumn("value_measure", F.col("value_measure") * 2), ["census_tract", "year"])
+    states = [table.read(v).select(F.lit(v).alias("version"), "census_tract", "year", F.round("value_measure", 3).alias("value_measure")) for v in table.versions()]
+    return states[0].unionByName(states[1])
