@@ -39,21 +39,35 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 class IndexPipeline:
-    """Results are lazy; with a folder, pairs, cells, supertracts and appreciation are kept there by settings and inputs."""
+    """Cells, supertracts and appreciation are computed and written when ``run`` is called; what comes after them is lazy.
+
+    With a folder they are kept there, and pairs too, by settings and inputs, for later runs."""
 
     def __init__(self, spark: SparkSession, settings: Settings, folder: str | None = None):
         self.spark, self.s, self.folder = spark, settings, folder
 
     def run(self, transactions: DataFrame, geography: DataFrame, measures: DataFrame) -> dict[str, DataFrame]:
         s = self.s
-        stage = tables.Stages(self.spark, self.folder, s, (transactions, geography)).get if self.folder else lambda name, make: make()
-        filtered = stage("pairs", lambda: pairs.apply_filters(pairs.repeat_sales(transactions), s))
+        good = pairs.apply_filters(pairs.repeat_sales(transactions), s)
+        if self.folder:
+            stage = tables.Stages(self.spark, self.folder, s, (transactions, geography)).get
+            filtered = stage("pairs", lambda: good)
+        else:
+            # Several branches start from the stages; written, each is planned and computed once.
+            filtered, stage = good, tables.Scratch(self.spark, tables.shared_folder(self.spark, "index")).get
         # Everything but the pairs themselves comes from cells.
         cells = stage("cells", lambda: bmn.cells(filtered, ["cbsa_code", "census_tract"]))
         halves = pairs.half_pairs_of_cells(cells)
         grid = pairs.half_pair_grid(halves, geography, s.first_year, s.end_year)
         mapping = stage("supertracts", lambda: areas.supertracts(grid, geography, s.min_half_pairs, s.unit).where(F.col("year") >= s.start_year))
         grown = stage("appreciation", lambda: self.appreciation(cells, mapping))
+        return {"pairs": filtered} | self.finish(cells, mapping, grown, geography, measures)
+
+    def finish(self, cells: DataFrame, mapping: DataFrame, grown: DataFrame, geography: DataFrame, measures: DataFrame) -> dict[str, DataFrame]:
+        """Weights, levels and panels from the stages."""
+        s = self.s
+        halves = pairs.half_pairs_of_cells(cells)
+        grid = pairs.half_pair_grid(halves, geography, s.first_year, s.end_year)
         # Stages hold what depends on transactions and geography; measures come in after them.
         weights = indices.weights(grid.where(F.col("year") >= s.start_year), measures, "supertract_id", s.schemes, mapping)
         city = indices.city_appreciation(grown, weights, "supertract_id")
@@ -63,7 +77,7 @@ class IndexPipeline:
         w = Window.partitionBy("census_tract").orderBy("year")
         chained = by_tract.withColumn("index_value", s.base_value * F.exp(F.sum("appreciation").over(w.rowsBetween(Window.unboundedPreceding, 0))))
         panel = indices.tract_panel(chained, geography, s.start_year, s.end_year, s.base_year, s.base_value)
-        return {"pairs": filtered, "half_pairs": halves, "mapping": mapping, "appreciation": grown, "weights": weights, "city_appreciation": city, "city_index": levels, "tract_index": panel}
+        return {"half_pairs": halves, "mapping": mapping, "appreciation": grown, "weights": weights, "city_appreciation": city, "city_index": levels, "tract_index": panel}
 
     def appreciation(self, cells: DataFrame, mapping: DataFrame) -> DataFrame:
         """(cbsa_code, year, supertract_id, appreciation): year's own supertracts for both of its coefficients.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrace.config import DRIVER as S
 from terrace.functions import scalars
 from terrace.operators import areas, bmn, indices, nearby, pairs, series, sketches, sparse_fit, validation
+from terrace.plans.incremental import IncrementalIndex
 from terrace.plans.pipeline import IndexPipeline
 from terrace.sources import tables as T
 from terrace.sources import validated
@@ -753,3 +754,12 @@ def measure_snapshots(t, g, m):
     table.upsert(own.where("year >= 1997").withColumn("value_measure", F.col("value_measure") * 2), ["census_tract", "year"])
     states = [table.read(v).select(F.lit(v).alias("version"), "census_tract", "year", F.round("value_measure", 3).alias("value_measure")) for v in table.versions()]
     return states[0].unionByName(states[1])
+
+
+@query(ORACLES["index_pipeline_city"][len(WITH) :])
+def index_pipeline_incremental(t, g, m):
+    # A run without one CBSA's last sales, then one with them, which computes that CBSA alone again.
+    spark = t.sparkSession
+    index = IncrementalIndex(spark, T.shared_folder(spark, "incremental"), S)
+    index.update(t.where("cbsa_code != '10007' or transaction_date < '2000-01-01'"), g)
+    return index.run(t, g, m)["city_index"]

@@ -154,6 +154,18 @@ class Stages:
         return self.spark.read.parquet(path)
 
 
+class Scratch:
+    """Stage outputs of one run below ``folder``, never taken over by another."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def get(self, name: str, make) -> DataFrame:
+        df = make()
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh URI below ``spark.checkpoint.dir``, which the driver and all executors see; a temporary folder only in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
