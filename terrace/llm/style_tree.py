@@ -33,7 +33,7 @@ from terrace.llm.shared import table, written
 
 MIN_PAGES, THRESHOLD, BASE = 5, 0.2, 0.9
 #: With the first, a branch stays only at an importance over 0.96; with the second, it goes only below 0.06.
-NOISE_ODDS, ARTICLE_ODDS = 0.01, 4.0
+NOISE_ODDS, ARTICLE_ODDS, APART_ODDS = 0.01, 4.0, 0.001
 #: Importances are taken as within these, as odds end at 0 and 1.
 LEAST, MOST = 0.02, 0.98
 
@@ -66,6 +66,9 @@ NOISE = frozenset(
     " discussion disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search toolbar"
     " widget widgets skip-link contentinfo complementary search-form form tags".split()
 )
+#: Of these, what is excluded however varied it is.
+APART = frozenset("sidebar side-bar related recommended comment comments respond discussion disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S,
@@ -75,15 +78,15 @@ HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
 class Node:
-    __slots__ = ("tag", "label", "path", "children", "dropped", "article", "noise", "around")
+    __slots__ = ("tag", "label", "path", "children", "dropped", "article", "noise", "apart", "around")
 
-    def __init__(self, tag: str, label: str, path: int, dropped: bool, article: bool, noise: bool):
+    def __init__(self, tag: str, label: str, path: int, dropped: bool, article: bool, noise: bool, apart: bool = False):
         self.tag, self.label, self.path, self.children = tag, label, path, []
-        self.dropped, self.article, self.noise, self.around = dropped, article, noise, False
+        self.dropped, self.article, self.noise, self.apart, self.around = dropped, article, noise, apart, False
 
 
-def _attributes(text: str) -> tuple[str, bool, bool]:
-    """(the label's part from classes, whether class, id or role name noise, whether the element is hidden)."""
+def _attributes(text: str) -> tuple[str, bool, bool, bool]:
+    """(the label's part from classes, whether class, id or role name noise, whether one of those apart, whether the element is hidden)."""
     classes, words, hidden = "", set(), False
     for name, *values in ATTRIBUTE.findall(text):
         name, value = name.lower(), next(filter(None, values), "")
@@ -92,7 +95,7 @@ def _attributes(text: str) -> tuple[str, bool, bool]:
         if name in ("class", "id", "role"):
             words.update(c.strip("-_:0123456789") for c in value.lower().split())
         hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
-    return classes, not words.isdisjoint(NOISE), hidden
+    return classes, not words.isdisjoint(NOISE), not words.isdisjoint(APART), hidden
 
 
 def parse(html: str) -> tuple[list[tuple[str, tuple[Node, ...]]], list[Node]]:
@@ -159,12 +162,12 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[Node, ...]]], list[Node]]:
             found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             at = found.start() if found else n
         up = stack[-1]
-        classes, noise, hidden = _attributes(attributes) if attributes else ("", False, False)
+        classes, noise, apart, hidden = _attributes(attributes) if attributes else ("", False, False, False)
         article = up.article or tag in ("article", "main")
         dropped = up.dropped or hidden or tag in DROPPED
         noise |= tag in NOISE_TAGS or tag == "header" and not up.article
         label = f"{tag}.{classes}" if classes else tag
-        node = Node(tag, label, xxhash.xxh64_intdigest(label.encode(), up.path) if not dropped else 0, dropped, article, noise)
+        node = Node(tag, label, xxhash.xxh64_intdigest(label.encode(), up.path) if not dropped else 0, dropped, article, noise, apart)
         if article and not up.article and not dropped:
             for outer in stack:
                 outer.around = True
@@ -183,7 +186,7 @@ def _signed(x: int) -> int:
 
 
 def page_features(html: str) -> set[tuple[int, int, int]]:
-    """(node, kind, feature) of a page, each once; kinds are 0 for presentation, 1 for content, 2 for noise and 3 for an article by markup."""
+    """(node, kind, feature) of a page, each once; kinds are 0 for presentation, 1 for content, 2 for noise, 3 for an article and 4 for what is apart by markup."""
     blocks, nodes = parse(html)
     styles: dict[int, set[str]] = {}
     found = set()
@@ -191,7 +194,7 @@ def page_features(html: str) -> set[tuple[int, int, int]]:
         if n.path:
             styles.setdefault(n.path, set()).add(">".join(n.children))
             if n.noise and not n.around:
-                found.add((_signed(n.path), 2, 0))
+                found.add((_signed(n.path), 4 if n.apart else 2, 0))
             elif n.article:
                 found.add((_signed(n.path), 3, 0))
     found.update((_signed(p), 0, _signed(xxhash.xxh64_intdigest("|".join(sorted(s))))) for p, s in styles.items())
@@ -202,10 +205,21 @@ def page_features(html: str) -> set[tuple[int, int, int]]:
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of a page outside the nodes ``low``; if nothing were left, those that markup doesn't call noise."""
+    """The blocks of a page outside the nodes ``low``; if nothing were left, those that markup doesn't call noise, or at least not by a tag."""
     blocks, _ = parse(html)
-    kept = [t for t, around in blocks if not any(_signed(n.path) in low and not n.around for n in around)] if low else [t for t, _ in blocks]
-    return "\n".join(kept or [t for t, around in blocks if not any(n.noise and not n.around for n in around)])
+    kept: list[str] = []
+    stays = False  # whether the block behind does
+    for text, around in reversed(blocks):
+        gone = [n for n in around if not n.around and _signed(n.path) in low]
+        own = next((i for i, n in enumerate(around) if n.tag in HEADINGS and n.article), len(around))
+        # Below its heading's own node nothing speaks against a heading whose block stays.
+        stays = not gone or stays and own < len(around) and all(n in around[own:] for n in gone)
+        if stays:
+            kept.append(text)
+    if not kept:
+        for noisy in (lambda n: n.noise, lambda n: n.tag in NOISE_TAGS or n.apart):
+            kept = kept or [t for t, around in reversed(blocks) if not any(noisy(n) and not n.around for n in around)]
+    return "\n".join(reversed(kept))
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -241,7 +255,7 @@ def node_importance(hosted: DataFrame, base: float = BASE, min_pages: int = MIN_
         F.count_if(style).alias("s"),
         F.count_if(content).alias("l"),
         F.sum(F.when(content, F.ln("n"))).alias("ln_n"),
-        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((2, "noise"), (3, "article"))),
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((2, "noise"), (3, "article"), (4, "apart"))),
     )
     ln_m = F.ln(F.greatest("m", F.lit(2)))
     presentation = F.when(F.col("m") > 1, (F.ln("m") - F.col("n_ln_n") / F.col("m")) / ln_m).otherwise(1.0)
@@ -249,7 +263,7 @@ def node_importance(hosted: DataFrame, base: float = BASE, min_pages: int = MIN_
     weight = F.pow(F.lit(base), F.col("s"))
     entropy = F.when(F.col("m") >= min_pages, (1 - weight) * presentation + weight * text).otherwise(0.5)
     entropy = F.least(F.greatest(entropy, F.lit(LEAST)), F.lit(MOST))
-    odds = F.exp((F.col("noise") * math.log(NOISE_ODDS) + F.col("article") * math.log(ARTICLE_ODDS)) / F.col("m")) * entropy / (1 - entropy)
+    odds = F.exp((F.col("noise") * math.log(NOISE_ODDS) + F.col("article") * math.log(ARTICLE_ODDS) + F.col("apart") * math.log(APART_ODDS)) / F.col("m")) * entropy / (1 - entropy)
     return nodes.where("m > 0").select("host", "node", F.col("m").alias("pages"), (odds / (1 + odds)).alias("importance"))
 
 
