@@ -70,6 +70,20 @@ def index_health(index: DataFrame, schemes: int = 6, low: float = 50.0, high: fl
     return own.withColumn("ok", F.coalesce((F.col("negative") == 0) & (F.col("n_schemes") >= schemes) & (F.col("least") >= low) & (F.col("most") <= high), F.lit(False)))
 
 
+def data_health(transactions: DataFrame, pairs: DataFrame, cap: float = 1e8, growth: float = 0.5, share: float = 0.01) -> DataFrame:
+    """(table_name, n, nulls, over, ok): nulls in needed columns and prices over ``cap`` of sales, nulls and yearly growth over ``growth`` of pairs.
+
+    ``ok`` where there are rows, and no more than a ``share`` of them has either. One aggregation a table."""
+
+    def of(df: DataFrame, name: str, needed: tuple[str, ...], over: Column) -> DataFrame:
+        nulls = functools.reduce(Column.__or__, (F.col(c).isNull() for c in needed))
+        own = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(nulls).alias("nulls"), F.count_if(F.coalesce(over, F.lit(False))).alias("over"))
+        return own.select(F.lit(name).alias("table_name"), "*", ((F.col("n") > 0) & (F.col("nulls") <= share * F.col("n")) & (F.col("over") <= share * F.col("n"))).alias("ok"))
+
+    sales = of(transactions, "transactions", ("property_id", "transaction_date", "transaction_price", "census_tract", "cbsa_code"), F.col("transaction_price") > cap)
+    return sales.unionByName(of(pairs, "pairs", ("price_relative", "cagr"), F.abs("cagr") > growth))
+
+
 def every_check(checks: dict[str, DataFrame]) -> DataFrame:
     """(table_name, check_name, violations, ok) of the checks of several tables."""
     named = [c.select(F.lit(name).alias("table_name"), "check_name", "violations", "ok") for name, c in checks.items()]

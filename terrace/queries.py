@@ -763,3 +763,10 @@ def index_pipeline_incremental(t, g, m):
     index = IncrementalIndex(spark, T.shared_folder(spark, "incremental"), S)
     index.update(t.where("cbsa_code != '10007' or transaction_date < '2000-01-01'"), g)
     return index.run(t, g, m)["city_index"]
+
+
+@query("""SELECT *, n > 0 AND nulls <= 0.01 * n AND over_ <= 0.01 * n AS ok FROM (
+ SELECT 'transactions' AS table_name, count(*) AS n, count(*) FILTER (property_id IS NULL OR transaction_date IS NULL OR transaction_price IS NULL OR census_tract IS NULL OR cbsa_code IS NULL) AS nulls, count(*) FILTER (transaction_price > 400000) AS over_ FROM tx
+ UNION ALL SELECT 'pairs', count(*), count(*) FILTER (price_relative IS NULL OR cagr IS NULL), count(*) FILTER (abs(cagr) > 0.5) FROM pairs)""".replace("SELECT *,", "SELECT table_name, n, nulls, over_ AS \"over\","))
+def data_health(t, g, m):
+    return validation.data_health(t, pairs.repeat_sales(t), cap=400000)
