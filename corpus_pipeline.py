@@ -1,4 +1,6 @@
-"""The corpus pipeline: quality, near copies, secrets, packing; each stage works on all that the one before kept."""
+"""The corpus pipeline: quality, near copies, secrets, packing; each stage works on all that the one before kept.
+
+All stages but the last return the columns of documents, extra ones too, whatever their names. An empty table goes through as one."""
 
 from __future__ import annotations
 
@@ -10,17 +12,25 @@ from terrace.llm.shared import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores 0.5 or more."""
+    """Documents that the co-trained classifier scores 0.5 or more.
+
+    Null and empty texts are scored like any other; rows of null or repeated ids are each kept or rejected by their own text; too few
+    labels reject nothing."""
     return co_training.rejected(docs, co_training.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id.
+
+    Null and empty texts are one group; a null id comes after all others; repeated rows are copies; texts may be of any length."""
     return near_copies.drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``[secret]`` in place of each secret, and n_chars of the new text."""
+    """All documents, with ``[secret]`` in place of each secret, and n_chars of the new text.
+
+    Rows without secrets, null texts among them, stay as they are; overlapping spans are one mark; rows of null or repeated ids are
+    told apart by their texts."""
     found = secret_scan.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("i"), "digest", "spans").dropDuplicates(["i", "digest"])
     found = written(found, "secret-spans")
     joined = docs.alias("d").join(found.alias("s"), F.expr("d.doc_id <=> s.i and xxhash64(coalesce(d.text, '')) = s.digest"), "left")
@@ -31,7 +41,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents packed into sequences of 2048 tokens."""
+    """Pieces of all documents packed into sequences of 2048 tokens.
+
+    A null or empty text is its end alone; repeated rows are packed again; ties go by id."""
     return histogram_packing.pack(docs)
 
 
