@@ -419,3 +419,13 @@ def test_pipeline_equals_plain_stages(spark):
     packed = packed.sort_values(["sequence_id", "offset"])
     ends = packed.offset + packed.length
     assert (ends <= 2048).all() and ((packed.offset == 0) | (packed.offset == ends.shift())).all()
+
+
+def test_rows_of_one_labelled_id_are_one_before_the_driver(spark):
+    rows = [(7, f"text {i} of one id " * (1 + i % 3), "en", "s") for i in range(2000)] + [(8, "another text", "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    sample = spark.createDataFrame([(7, 5, 1, -1, -1), (8, 6, 0, -1, -1)], "id long, h long, y int, y0 int, y1 int")
+    found, x = co_training._featured(docs, sample)
+    assert found["id"].to_pylist() == [7, 8] and found["y"].to_pylist() == [1, 0] and all(len(v) == 2 for v in x)
+    again, z = co_training._featured(docs.orderBy(F.rand(1)), sample)
+    assert again["id"].to_pylist() == [7, 8] and all((a == b).all() for a, b in zip(x, z, strict=True))

@@ -298,3 +298,17 @@ def test_long_values_and_urls_are_redacted_whole(spark):
     got = secret_scan.scan(frame).join(frame, "doc_id").select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()
     s = "[secret]"
     assert {r.doc_id: r.t for r in got} == {1: f"{s} {s} {s} end", 2: f"{s} {s} end", 3: f"{s} {s} {s} end", 4: "a." * 100000}
+
+
+@pytest.mark.parametrize(("size", "ids"), [(70_000, [66_000]), (100, [separator_scan.SEPARATOR])])
+def test_token_files_refuse_ids_that_do_not_fit(spark, tmp_path, monkeypatch, size, ids):
+    # A vocabulary in which one letter has an id beyond 16 bits, or that of the separator.
+    import base64
+
+    path = tmp_path / "vocabulary"
+    singles = [bytes([i]) for i in range(256) if i != ord("z")]
+    path.write_text("".join(f"{base64.b64encode(b).decode()} {i}\n" for i, b in enumerate(singles)) + f"{base64.b64encode(b'z').decode()} {ids[0]}\n")
+    docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    assert separator_scan.write_tokens(docs, f"file://{tmp_path}/good", str(path)).count() == 2
+    with pytest.raises(Exception, match="65535"):
+        separator_scan.write_tokens(docs.unionByName(docs.selectExpr("3L as doc_id", "'z' as text")), f"file://{tmp_path}/bad", str(path))
