@@ -770,3 +770,16 @@ def index_pipeline_incremental(t, g, m):
  UNION ALL SELECT 'pairs', count(*), count(*) FILTER (price_relative IS NULL OR cagr IS NULL), count(*) FILTER (abs(cagr) > 0.5) FROM pairs)""".replace("SELECT *,", "SELECT table_name, n, nulls, over_ AS \"over\","))
 def data_health(t, g, m):
     return validation.data_health(t, pairs.repeat_sales(t), cap=400000)
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS format, year, count(*) AS n, round(sum(value_measure), 3) + 0.0 AS value_measure, round(sum(unit_measure), 3) + 0.0 AS unit_measure FROM measures GROUP BY year" for f in ("csv", "json", "parquet")))
+def exported_measures(t, g, m):
+    # Written and read back in three formats.
+    spark, found = t.sparkSession, []
+    for fmt in ("csv", "json", "parquet"):
+        path = T.shared_folder(spark, f"export-{fmt}")
+        T.save(m.select(*T.MEASURES.names), path, fmt)
+        back = T.read(spark, path, T.MEASURES, fmt, ["year", "value_measure", "unit_measure"])
+        sums = (F.round(F.sum(c), 3).alias(c) for c in ("value_measure", "unit_measure"))
+        found.append(back.groupBy("year").agg(F.count(F.lit(1)).alias("n"), *sums).select(F.lit(fmt).alias("format"), "year", "n", "value_measure", "unit_measure"))
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrace.config import DataError, Settings
-from terrace.sources import validated
+from terrace.sources import arrow_source, validated
 
 
 def _schema(text: str) -> T.StructType:
@@ -29,8 +29,10 @@ MEASURES = _schema(
     "census_tract string, cbsa_code string, year int, value_measure double, unit_measure double, upb_measure double, college_share double, nonwhite_share double"
 )
 FORMATS = ("parquet", "csv", "json", "orc")
-#: Formats that are read only: Arrow's file format, which is also Feather's second version.
-READ_ONLY = ("arrow",)
+#: Arrow's file format, which is also Feather's second version.
+ARROW = "arrow"
+#: Stores whose Arrow files tasks read by record batches; from others Spark's own readers fetch each file whole.
+DIRECT = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
 
 
 def _arrow(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -59,10 +61,11 @@ def read(
         if quarantine is None:
             raise DataError("rules need a folder for the rows that break them")
         return validated.load(spark, path, schema, rules, quarantine, fmt).good.select(*(columns or schema.names))
-    if fmt in READ_ONLY:
-        return _arrow(spark, path, schema if columns is None else T.StructType([schema[c] for c in columns]))
+    if fmt == ARROW:
+        own = schema if columns is None else T.StructType([schema[c] for c in columns])
+        return arrow_source.read_arrow(spark, path, own) if path.partition("://")[0] in DIRECT or "://" not in path else _arrow(spark, path, own)
     if fmt not in FORMATS:
-        raise DataError(f"format must be one of {FORMATS + READ_ONLY}")
+        raise DataError(f"format must be one of {(*FORMATS, ARROW)}")
     frame = spark.read.schema(schema).format(fmt)
     frame = frame.option("header", True) if fmt == "csv" else frame
     return frame.load(path).select(*(columns or schema.names))
@@ -79,9 +82,11 @@ def in_area(transactions: DataFrame, cbsa: str, tracts: DataFrame | None = None)
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    """Write and replace ``path``; ``by`` are partition columns."""
-    if fmt not in FORMATS:
-        raise DataError(f"format must be one of {FORMATS}")
+    """Write and replace ``path``; ``by`` are partition columns, which Arrow files don't have."""
+    if fmt not in (*FORMATS, ARROW) or fmt == ARROW and by:
+        raise DataError(f"format must be one of {FORMATS}, or {ARROW} without partition columns")
+    if fmt == ARROW:
+        return arrow_source.save_arrow(df, path)
     out = df.write.mode("overwrite").format(fmt)
     out = out.option("header", True) if fmt == "csv" else out.option("compression", "snappy") if fmt == "parquet" else out
     (out.partitionBy(*by) if by else out).save(path)
