@@ -10,7 +10,9 @@
 3. ``classes``: connected components over all forests; a class id is the smallest document id.
 
 With n distinct fingerprints a trie holds about n / 2**(64 // (budget + 1)) of them; ``extra_blocks`` cuts the
-bits finer and asks for agreement in more blocks, for smaller tries at larger n (``finer`` picks it).
+bits finer and asks for agreement in more blocks, for smaller tries at larger n (``finer`` picks it). Fingerprints of
+documents from one template crowd into few subtrees: one of more than ``unit`` fingerprints is cut again, by those bits
+that differ inside it, until none is (``subtrees``), so no task holds a hot subtree whole.
 """
 
 from __future__ import annotations
@@ -167,34 +169,74 @@ def finer(n: int, budget: int, size: int = 128) -> int:
     return next((e for e in range(5) if n <= size << bits(e)), 5)
 
 
-def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: int | None = None) -> DataFrame:
+#: Distinct fingerprints of a subtree that is walked in one piece.
+UNIT = 1 << 13
+
+
+def _large(rows: DataFrame, unit: int) -> DataFrame:
+    """(mask, name, varying) of subtrees of more than ``unit`` fingerprints: the bits that are not the same in all of them."""
+    key = ["mask", "name"]
+    size = F.count(F.lit(1)).alias("n")
+    # More than ``unit`` fingerprints differ in more than log2(unit) bits.
+    bits = max(unit, 2).bit_length() - 1
+    large = rows.groupBy(*key).agg(size, F.expr("bit_or(fp) ^ bit_and(fp)").alias("varying")).where((F.col("n") > unit) & (F.bit_count("varying") > bits))
+    large = written(large.drop("n"), "large-subtrees")
+    if "second" not in rows.columns or large.isEmpty():
+        return large
+    # A fingerprint with several rows counts once.
+    several = rows.join(large, key, "left_semi").select(*key, "fp").distinct().groupBy(*key).agg(size).where(F.col("n") > unit)
+    return written(large.join(several, key, "left_semi"), "large-subtrees")
+
+
+def subtrees(fps: DataFrame, budget: int, extra_blocks: int = 0, unit: int = UNIT) -> DataFrame:
+    """``fps`` (fp among its columns) with a row for each subtree that a fingerprint belongs to, named by ``mask`` (the bits that
+    agree in the whole subtree) and ``name`` (a hash of their values and of the larger subtrees around it).
+
+    Two fingerprints that differ in ``budget`` bits or fewer are in one subtree at least. A subtree of more than ``unit``
+    fingerprints is cut by the same rule as the whole: of ``budget + 1`` blocks of the bits that vary in it, one agrees.
+    Each cut leaves fewer such bits, and few bits hold few fingerprints, so this ends whatever the fingerprints are."""
+    blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
+    if unit < 1 << budget + 1:
+        raise ValueError("a unit is larger than what budget + 1 bits tell apart")
+    cuts = _cuts(blocks)
+    tops = []
+    for chosen in combinations(range(blocks), agree):
+        mask = sum(((1 << cuts[i][1]) - 1) << cuts[i][0] for i in chosen)
+        long = F.lit(mask - (mask >> 63 << 64)).cast("long")
+        tops.append(F.struct(long.alias("mask"), F.xxhash64(long, F.col("fp").bitwiseAND(long)).alias("name")))
+    open_, settled = fps.select("*", F.inline(F.array(*tops))), []
+    key, n = ["mask", "name"], budget + 1
+    places = "filter(sequence(0, 63), b -> getbit(varying, b) = 1)"
+    parts = f"transform(sequence(0, {n - 1}), k -> aggregate(filter({places}, (b, i) -> i % {n} = k), 0L, (m, b) -> m | shiftleft(1L, b)))"
+    while not (large := _large(open_, unit)).isEmpty():
+        settled.append(open_.join(large, key, "left_anti"))
+        # The large ones' rows are the side that adaptive skew joins may split.
+        cut = open_.join(large.withColumn("parts", F.expr(parts)), key).withColumn("part", F.explode("parts"))
+        name = F.expr("xxhash64(mask, name, part, fp & part)").alias("name")
+        open_ = written(cut.select(*fps.columns, F.expr("~varying | part").alias("mask"), name), "subtrees")
+    for rows in settled:
+        open_ = open_.unionByName(rows)
+    return open_
+
+
+def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: int | None = None, unit: int = UNIT) -> DataFrame:
     """(a, b): links between nodes that connect all of ``fps`` (node long, fp long; fp unique) within the budget.
     With ``within``, a column ``second`` (long) must differ in so many bits or fewer too; a node then has a row for
     each of its second fingerprints, any of which may agree."""
     if budget < 1:
         raise ValueError("a budget is one bit or more; equal fingerprints are one node")
-    blocks, agree = budget + 1 + extra_blocks, 1 + extra_blocks
-    cuts = _cuts(blocks)
-
-    def tagged(k: int, chosen: tuple[int, ...]) -> list:
-        return [F.lit(k)] + [F.shiftrightunsigned("fp", cuts[c][0]).bitwiseAND((1 << cuts[c][1]) - 1) for c in chosen]
-
-    # A subtree's name: which blocks agree and their value.
-    names = F.array(*(F.xxhash64(*tagged(k, c)) for k, c in enumerate(combinations(range(blocks), agree))))
     more = [] if within is None else ["second"]
-    rows = fps.select("node", "fp", *more, F.posexplode(names).alias("table", "name"))
-    masks = [sum(((1 << cuts[i][1]) - 1) << cuts[i][0] for i in c) for c in combinations(range(blocks), agree)]
-    depth = np.array([64 - m.bit_count() for m in masks])
+    rows = subtrees(fps.select("node", "fp", *more), budget, extra_blocks, unit)
 
     def join_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The tries of one partition, sorted by (table, name); a trie may continue in the next batch."""
+        """The tries of one partition, sorted by (mask, name); a trie may continue in the next batch."""
         held: list[pd.DataFrame] = []
         for pdf in batches:
             if pdf.empty:
                 continue
-            last = pdf["name"].to_numpy()[-1], pdf["table"].to_numpy()[-1]
-            open_ = ((pdf["name"] == last[0]) & (pdf["table"] == last[1])).to_numpy()
-            if held and not open_.all() or held and (held[-1]["name"].iloc[-1], held[-1]["table"].iloc[-1]) != last:
+            last = pdf["name"].to_numpy()[-1], pdf["mask"].to_numpy()[-1]
+            open_ = ((pdf["name"] == last[0]) & (pdf["mask"] == last[1])).to_numpy()
+            if held and not open_.all() or held and (held[-1]["name"].iloc[-1], held[-1]["mask"].iloc[-1]) != last:
                 yield from done(pd.concat([*held, pdf[~open_]]))
                 held = [pdf[open_]]
             elif held:
@@ -207,18 +249,19 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: i
             yield from done(pd.concat(held))
 
     def done(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        tables, names_ = pdf["table"].to_numpy(), pdf["name"].to_numpy()
+        masks, names = pdf["mask"].to_numpy().view(np.uint64), pdf["name"].to_numpy()
+        depth = 64 - np.bitwise_count(masks).astype(np.int64)
         fp = pdf["fp"].to_numpy().view(np.uint64)
-        trie = np.cumsum(np.r_[False, (tables[1:] != tables[:-1]) | (names_[1:] != names_[:-1])]).astype(np.uint64)
+        trie = np.cumsum(np.r_[False, (masks[1:] != masks[:-1]) | (names[1:] != names[:-1])]).astype(np.uint64)
         # A trie of one row links nothing.
         rows_ = np.flatnonzero(np.bincount(trie.astype(np.int64))[trie.astype(np.int64)] > 1)
-        for rest in sorted(set(depth[tables[rows_]].tolist())):
-            own = rows_[depth[tables[rows_]] == rest]
+        for rest in sorted(set(depth[rows_].tolist())):
+            own = rows_[depth[rows_] == rest]
             # The bits that don't agree by the trie's name, below a number of the trie: tries of one depth are walked together.
             low = np.empty(len(own), np.uint64)
-            for k in set(tables[own].tolist()):
-                at = tables[own] == k
-                low[at] = _compress(fp[own[at]], 0, ~masks[k] & (1 << 64) - 1)
+            for mask in set(masks[own].tolist()):
+                at = masks[own] == mask
+                low[at] = _compress(fp[own[at]], 0, ~mask & (1 << 64) - 1)
             number = np.unique(trie[own], return_inverse=True)[1]
             for most in range(0, int(number[-1]) + 1, 1 << (64 - rest)):
                 part = (number >= most) & (number < most + (1 << (64 - rest)))
@@ -240,7 +283,7 @@ def trie_links(fps: DataFrame, budget: int = 3, extra_blocks: int = 0, within: i
         return pd.DataFrame({"a": ids[roots[member]], "b": ids[member]})
 
     n = max(partitions(fps.sparkSession), 2 * fps.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(n, "table", "name").sortWithinPartitions("table", "name").mapInPandas(join_tries, "a long, b long")
+    return rows.repartition(n, "mask", "name").sortWithinPartitions("mask", "name").mapInPandas(join_tries, "a long, b long")
 
 
 def _compress(fp: np.ndarray, first: int, last: int) -> np.ndarray:

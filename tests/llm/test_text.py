@@ -150,6 +150,62 @@ def test_trie_links_connect_all(spark, budget, extra):
     assert [label.get(i, i) for i in range(len(fps))] == plain_classes(fps, budget)
 
 
+def crowded(seed, n, bits):
+    """Distinct fingerprints that differ only in ``bits`` of 64, spread over the word, as those of one template's documents."""
+    rng = np.random.default_rng(seed)
+    places = rng.permutation(64)[:bits]
+    base = int(rng.integers(0, 1 << 63))
+    low = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint64))
+    return sorted(base ^ sum((int(x) >> i & 1) << int(p) for i, p in enumerate(places)) for x in low)
+
+
+def as_long(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize(("budget", "extra", "unit"), [(3, 0, 16), (3, 1, 16), (1, 0, 4), (2, 2, 32)])
+def test_a_crowded_prefix_is_split(spark, budget, extra, unit):
+    fps = crowded(1, 150, 30) + crowded(2, 100, 12) + crowded(3, 40, 63)
+    fps = sorted(set(fps))
+    frame = spark.createDataFrame([(i, as_long(x)) for i, x in enumerate(fps)], "node long, fp long")
+    got = simhash_trie.subtrees(frame, budget, extra, unit)
+    assert got.groupBy("mask", "name").count().agg({"count": "max"}).first()[0] <= unit
+    # All of a subtree agree in the bits of its mask.
+    assert got.groupBy("mask", "name").agg(F.countDistinct(F.expr("fp & mask")).alias("n")).where("n > 1").isEmpty()
+    label = {r.node: r.component for r in components.components(simhash_trie.trie_links(frame, budget, extra, unit=unit)).collect()}
+    assert [label.get(i, i) for i in range(len(fps))] == plain_classes(fps, budget)
+
+
+def test_a_crowded_prefix_with_second_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    fps = crowded(5, 120, 24)
+    rows = [(x, y) for x in fps for y in rng.integers(0, 1 << 63, rng.integers(1, 4)).tolist()]
+    rows += [(fps[0], int(y)) for y in rng.integers(0, 1 << 63, 100)]  # one with many: counted once
+    frame = spark.createDataFrame([(i, as_long(x), y) for x, y in rows for i in [fps.index(x)]], "node long, fp long, second long")
+    root = list(range(len(fps)))
+    second = [np.array([y for x, y in rows if x == fp], np.uint64) for fp in fps]
+    for i in range(len(fps)):
+        for j in range(i):
+            near = (fps[i] ^ fps[j]).bit_count() <= 3
+            if near and (np.bitwise_count(second[i][:, None] ^ second[j]) <= 30).any():
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    links = simhash_trie.trie_links(frame, 3, 0, 30, unit=16)
+    label = {r.node: r.component for r in components.components(links).collect()}
+    assert [label.get(i, i) for i in range(len(fps))] == root
+    assert len(set(root)) not in (1, len(fps))
+
+
+def test_a_hot_subtree_at_its_real_size(spark):
+    """20,000 documents of one template: whole in one subtree by their first 16 bits, met in units of 8,192 at most."""
+    fps = sorted({x & (1 << 44) - 1 for x in crowded(6, 20_000, 40)})
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "node long, fp long")
+    assert simhash_trie.subtrees(frame, 3).groupBy("mask", "name").count().agg({"count": "max"}).first()[0] <= simhash_trie.UNIT
+    whole = simhash_trie.trie_links(frame, 3, unit=1 << 20)
+    found = [sorted(map(tuple, components.components(x).collect())) for x in (whole, simhash_trie.trie_links(frame, 3))]
+    assert found[0] == found[1] and found[0]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 8), (200, 201)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
