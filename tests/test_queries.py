@@ -52,7 +52,7 @@ def test_without_the_training_data_part(tmp_path, pipeline_too):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, check=True)
 
 
-@pytest.mark.parametrize("name", ["repeat_sales_pairs", "zscore_filter"])
+@pytest.mark.parametrize("name", ["repeat_sales_pairs", "zscore_filter", "zscore_global"])
 def test_growth_whose_shortest_form_is_a_tie(spark, tmp_path, name):
     # 94668.7 / 359192.97 over 148 days: the growth's shortest form is -0.96277942055, the double itself lies below that tie.
     con = duckdb.connect()
