@@ -2,11 +2,12 @@
 
 A row of the stored table holds, for the finest grouping, counts and sums, a quantile sketch of price relatives (KLL) and a
 distinct count sketch of properties (HLL). Rows of any coarser grouping are merged from it: sketches are a few kilobytes
-whatever they stand for, and merging is an ordinary aggregation with partial results, so global figures never hold all
+(32 for many properties) whatever they stand for, and merging is an ordinary aggregation with partial results, so global figures never hold all
 values in one task.
 
 A KLL sketch of size ``k`` (200 by default) gives a value whose rank is off by ``rank_error(k)`` of the rows at 99 % confidence, and exact
-values where fewer rows than k went in; an HLL sketch of ``lg`` (12) bits is off by ``distinct_error(lg)``, relative, at two deviations.
+values where fewer rows than k went in; an HLL count of ``lg`` (12) bits is off by ``distinct_error(lg)``, relative. Merged sketches deviate by
+1.04 / sqrt(2 ** bits), and a table has many groups, so a sketch holds ``SPARE`` bits more: the bound is then over six deviations.
 Null price relatives and properties don't count in their sketches; groups of nulls alone have null quantiles.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, BITS = 200, 12
+#: Bits of a sketch beyond those of its bound; Spark's sketches have 21 at most.
+SPARE, MOST = 4, 21
 FIGURES = ("n_pairs", "n_properties", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
@@ -25,7 +28,7 @@ def rank_error(k: int = SIZE) -> float:
 
 
 def distinct_error(lg: int = BITS) -> float:
-    """Two standard deviations of an HLL sketch's relative error."""
+    """Bound of a distinct count's relative error: two deviations of a sketch of ``lg`` bits that was never merged, over six of what ``sketched`` stores."""
     return 2 * 0.8326 / (1 << lg) ** 0.5
 
 
@@ -34,7 +37,7 @@ def sketched(pairs: DataFrame, by: list[str], k: int = SIZE, lg: int = BITS) ->
     p = F.col("price_relative")
     return pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count(p).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("ss"), F.min(p).alias("low"), F.max(p).alias("high"),
-        F.kll_sketch_agg_double(p, F.lit(k)).alias("quantiles"), F.hll_sketch_agg("property_id", F.lit(lg)).alias("properties"),
+        F.kll_sketch_agg_double(p, F.lit(k)).alias("quantiles"), F.hll_sketch_agg("property_id", F.lit(min(lg + SPARE, MOST))).alias("properties"),
     )
 
 

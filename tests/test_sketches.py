@@ -45,3 +45,11 @@ def test_global_statistics_are_bounded_by_default(spark):
     plan = pairs.pair_statistics(frame)._jdf.queryExecution().toString()
     assert "percentile_approx" in plan and "percentile(" not in plan
     assert abs(pairs.pair_statistics(frame).first()["median_relative"] - pairs.pair_statistics(frame, None).first()["median_relative"]) <= 2 * 5000 / 10_000 / 1000 + 1e-3
+
+
+def test_distinct_counts_of_many_groups_keep_their_bound(spark):
+    # Merged sketches have no order of arrival to estimate from, so each of forty groups needs room within the bound.
+    frame = spark.range(200_000).selectExpr("concat('t', id % 40) as tract", "cast(id div 40 % 4 as int) as year", "cast(id as string) as property_id", "1.0d as price_relative")
+    table = sketches.sketched(frame, ["tract", "year"])
+    found = [r["n_properties"] for r in sketches.figures(sketches.merged(table, ["tract"]), ["tract"]).collect()]
+    assert len(found) == 40 and max(abs(n - 5000) for n in found) <= sketches.distinct_error() * 5000
