@@ -1,10 +1,10 @@
 """Repeat-sales pairs and regression cells kept up to date from a stream of sales.
 
-A property's sales are its keyed state. A batch's sales are put among them by date (then tiebreak), and only what changes goes
-out: pairs with ``sign`` 1 that have come about and pairs with ``sign`` -1 that a sale between their two sales has ended. Signed
+The sales of a bucket of properties are its keyed state, as compressed Arrow. A batch's sales are put among them by property and date (then tiebreak),
+and only what changes goes out: pairs with ``sign`` 1 that have come about and pairs with ``sign`` -1 that a sale between their two sales has ended. Signed
 sums of cells are additive, so cells of any number of batches, in any order of sales, equal those of one pass over all sales.
 
-Late sales need no watermark: a property's sales are few and stay in its state. Sales of one day go by tiebreak; a repeated row is
+Late sales need no watermark: a property's sales are few and stay in the state. Sales of one day go by tiebreak; a repeated row is
 a sale of its own, as in the batch operator. Sales without property or date are left out. Columns besides those of sales are ignored.
 """
 
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,31 +22,51 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from terrace.config import Settings
 from terrace.operators import pairs
 
-SALE = ("day", "tie", "price", "tract", "cbsa", "distance")
-STATE = "days array<long>, ties array<long>, prices array<double>, tracts array<string>, cbsas array<string>, distances array<double>"
+#: Properties are kept by bucket of their hash, so that a group's fixed cost is shared and its state is a part in 4,096 of all sales. A stream keeps the number it began with.
+BUCKETS = 4096
+SALE = pa.schema([("property_id", pa.string()), ("day", pa.int64()), ("tie", pa.int64()), ("price", pa.float64()), ("tract", pa.string()), ("cbsa", pa.string()), ("distance", pa.float64())])
+STATE = "sales binary"
 CHANGE = "property_id string, census_tract string, cbsa_code string, distance_to_cbd double, day_1 long, day_2 long, sale_price_1 double, sale_price_2 double, sign int"
 
 
+def _changed(owner: np.ndarray, day: np.ndarray, tie: np.ndarray, known: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Positions (first sales, second sales) of new and of ended pairs, after the sales at ``known`` and later are put among those before."""
+    order = np.lexsort((tie, day, owner))  # stable: sales of one day and tiebreak stay as they came
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    a, b = order[:-1], order[1:]
+    come = (owner[a] == owner[b]) & ((a >= known) | (b >= known))
+    old = order[order < known]
+    c, d = old[:-1], old[1:]
+    ended = (owner[c] == owner[d]) & (place[d] - place[c] > 1)
+    return (a[come], b[come]), (c[ended], d[ended])
+
+
 def _adjacent(sales: list[tuple], known: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(new, ended) pairs of positions in ``sales`` after the sales at ``known`` and later are put among those before."""
-    order = sorted(range(len(sales)), key=lambda i: (sales[i][0], sales[i][1], i))
-    old = [i for i in order if i < known]
-    ended = set(zip(old, old[1:], strict=False))
-    come = set(zip(order, order[1:], strict=False))
-    return sorted(come - ended), sorted(ended - come)
+    """The same of one property's (day, tie, ...), as sorted positions."""
+    day, tie = (np.array([x[i] for x in sales], "int64") for i in (0, 1))
+    come, ended = (sorted(zip(a.tolist(), b.tolist(), strict=True)) for a, b in _changed(np.zeros(len(sales), "int64"), day, tie, known))
+    return come, ended
+
+
+def _kept(sales: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, SALE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(sales)
+    return out.getvalue().to_pybytes()
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = list(zip(*state.get, strict=True)) if state.exists else []
-    sales = [*known, *(row for pdf in frames for row in pdf[list(SALE)].astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))]
-    come, ended = _adjacent(sales, len(known))
-    state.update(tuple(list(column) for column in zip(*sales, strict=True)))
-    rows = []
-    for found, sign in ((come, 1), (ended, -1)):
-        for a, b in ((sales[i], sales[j]) for i, j in found):
-            rows.append((key[0], a[3], a[4], a[5], a[0], b[0], a[2], b[2], sign))
-    if rows:
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHANGE.split(", ")])
+    before = [pa.ipc.open_stream(state.get[0]).read_all()] if state.exists else []
+    known = sum(map(len, before))
+    sales = pa.concat_tables([*before, *(pa.Table.from_pandas(pdf[SALE.names], SALE, preserve_index=False) for pdf in frames)]).combine_chunks()
+    state.update((_kept(sales),))
+    owner = sales["property_id"].combine_chunks().dictionary_encode().indices
+    for (first, second), sign in zip(_changed(*(x.to_numpy() for x in (owner, sales["day"], sales["tie"])), known), (1, -1), strict=True):
+        if len(first):
+            a, b = sales.take(pa.array(first)), sales.take(pa.array(second))
+            columns = [a["property_id"], a["tract"], a["cbsa"], a["distance"], a["day"], b["day"], a["price"], b["price"], pa.array(np.full(len(first), sign, "int32"))]
+            yield pa.table(columns, names=[x.split()[0] for x in CHANGE.split(", ")]).to_pandas()
 
 
 def pair_changes(sales: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
@@ -53,7 +75,7 @@ def pair_changes(sales: DataFrame, tiebreak: str = "tiebreak") -> DataFrame:
         F.col("property_id").cast("string").alias("property_id"), F.unix_date("transaction_date").cast("long").alias("day"), F.coalesce(F.col(tiebreak).cast("long"), F.lit(0)).alias("tie"),
         F.col("transaction_price").cast("double").alias("price"), F.col("census_tract").alias("tract"), F.col("cbsa_code").alias("cbsa"), F.col("distance_to_cbd").cast("double").alias("distance"),
     )
-    found = own.groupBy("property_id").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    found = own.withColumn("bucket", F.pmod(F.xxhash64("property_id"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
     dated = found.withColumns({f"sale_date_{k}": F.date_from_unix_date(F.col(f"day_{k}").cast("int")) for k in (1, 2)})
     return pairs.with_growth(dated.drop("day_1", "day_2"))
 

@@ -64,3 +64,14 @@ def test_no_pairs_from_few_sales(spark, tmp_path, n):
     stream = CellStream(spark, f"file://{tmp_path}/cells", DRIVER)
     stream.advance(spark.readStream.schema(sales.schema).parquet(f"{tmp_path}/sales"))
     assert not (tmp_path / "cells/changes").exists() or stream.cells().count() == 0
+
+
+def test_state_is_kept_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("terrace.streaming.pairing.BUCKETS", 4, raising=False)
+    sales = some_sales(spark).where("property_id is not null and transaction_date is not null").cache()
+    sales.write.parquet(f"{tmp_path}/sales")
+    loose = DRIVER.with_(max_cagr=5.0)
+    stream = CellStream(spark, f"file://{tmp_path}/cells", loose)
+    stream.advance(spark.readStream.schema(sales.schema).parquet(f"{tmp_path}/sales"))
+    assert shown(stream.cells()) == shown(bmn.cells(pairs.apply_filters(pairs.repeat_sales(sales), loose), ["cbsa_code"]))
+    assert sales.select("property_id").distinct().count() == 9 and spark.read.format("statestore").load(f"{tmp_path}/cells/checkpoint").count() <= 4
