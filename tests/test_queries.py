@@ -66,3 +66,25 @@ def test_growth_whose_shortest_form_is_a_tie(spark, tmp_path, name):
     want = [dict(zip(columns, r, strict=True)) for r in want.fetchall()]
     assert "-9.627794205e-01" in {r["cagr"] for r in want}
     assert rows(columns, [r.asDict() for r in entry.queries()[name](spark, str(tmp_path)).collect()]) == rows(columns, want)
+
+
+def compared(spark, folder, name, customers, orders):
+    """The query's rows and those of its SQL over two small tables."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES {customers}) v(c_custkey, c_nationkey, c_mktsegment)) TO '{folder}/customer.parquet'")
+    con.execute(f"COPY (SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice, o_orderdate::TIMESTAMP AS o_orderdate FROM (VALUES {orders}) v(o_orderkey, o_custkey, o_totalprice, o_orderdate)) TO '{folder}/orders.parquet'")
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    want = [dict(zip(columns, r, strict=True)) for r in want.fetchall()]
+    return rows(columns, [r.asDict() for r in entry.queries()[name](spark, str(folder)).collect()]), rows(columns, want)
+
+
+@pytest.mark.parametrize("name", ["zscore_filter", "zscore_global"])
+def test_outliers_where_the_group_is_null(spark, tmp_path, name):
+    # Customer 3 has no nation, so no CBSA: its sales are a group of their own in SQL, with one outlier.
+    prices = {2: [100, 120, 90, 130], 3: [100, 110, 100, 110, 100, 110, 900]}
+    orders = ", ".join(f"({c * 10 + i}, {c}, {p}, '{1995 + i}-03-0{c}')" for c, ps in prices.items() for i, p in enumerate(ps))
+    got, want = compared(spark, tmp_path, name, "(2, 7, 'A'), (3, NULL, 'A')", orders)
+    assert len(want) == 8 and got == want
