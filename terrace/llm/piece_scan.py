@@ -188,9 +188,10 @@ class Chunk:
 
     def _from(self, source: State, end: int, whole: bool) -> dict:
         at, before = (self.lo, None) if source == EDGE else (self.lo + source[1], source[2])
-        if at >= end:  # the piece across the left border ends where the words begin
-            return {(source[0] + self.lo - end, at - end, before): (0.0, None)}
-        found = search(self.p, self.s, at, before, end)
+        if at >= end:  # the piece across the left border ends where the words begin, or with the text
+            found = {(source[0] + self.lo - end, at - end, before): (0.0, None)}
+        else:
+            found = search(self.p, self.s, at, before, end)
         return self._ends(found) if whole else found
 
     def matrix(self) -> np.ndarray:

@@ -124,6 +124,16 @@ def test_chunks_equal_the_library(seed):
         assert np.array_equal(left, piece_scan.product(matrices[0], piece_scan.product(matrices[1], matrices[2])))
 
 
+def test_a_last_piece_that_starts_in_the_chunk_before(spark):
+    # Texts that end 1 to 16 characters behind a border, so that the piece across it is the last one.
+    library = piece_scan.pieces_of(piece_scan.default_path()).library
+    texts = [("a " * 200)[: 126 - len(word) + k] + word for word in ("information", "hander", "日本語", "the", "        ", "😀") for k in range(len(word))]
+    texts += [x + "s" for x in texts] + [("a " * 200)[:127] + "international"[:k] for k in range(1, 14)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in piece_scan.encode(rows, chunk=64).collect()}
+    assert got == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
 def plain_classes(fps, budget):
     root = list(range(len(fps)))
     for i in range(len(fps)):
