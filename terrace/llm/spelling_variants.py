@@ -32,6 +32,8 @@ LETTERS = rb"a-z\xc0-\xff"
 NO_LETTER = re.compile(rb"[^%s]" % LETTERS)
 #: Bigrams of a word that are joined: one more than an edit can change.
 RAREST = 3
+#: Bigrams whose frequencies each task gets whole: the letters of ``vocabulary`` make 8,100 at most. More are joined by a shuffle.
+BIGRAMS = 1 << 16
 
 
 def _pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -90,8 +92,9 @@ def vocabulary(docs: DataFrame, length: int = 5, least: int = 3, every: int | No
 def rare_bigrams(vocab: DataFrame) -> DataFrame:
     """(word, n, at): positions (from 0) of each word's three rarest bigrams, in the global order."""
     grams = vocab.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("at", "gram"))
-    # As many rows as there are pairs of letters: the frequencies alone are joined, on the side that Spark finds small.
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    # Spark sizes exploded rows as the file they come from, and would broadcast them; the frequencies are as many as pairs of letters.
+    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")), "bigram-counts")
+    often = F.broadcast(often) if often.limit(BIGRAMS + 1).count() <= BIGRAMS else often.hint("merge")
     order = F.array_sort(F.collect_list(F.struct("often", "gram", "at")))
     ranked = grams.join(often, "gram").groupBy("word", "n").agg(F.slice(order, 1, RAREST).alias("rare"))
     return ranked.select("word", "n", F.explode("rare.at").alias("at"))
@@ -118,7 +121,8 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     keys = _keys(written(rare_bigrams(vocab), "bigrams"))
     a = keys.where("own").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     b = keys.select("key", "own", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = a.join(b, "key").where("if(own, length(a) = length(b) and a < b, length(a) + 1 = length(b))")
+    # Keys are 24 rows a bigram, which Spark sizes as the bigrams' file: shuffled at any size, never broadcast.
+    met = a.join(b.hint("merge"), "key").where("if(own, length(a) = length(b) and a < b, length(a) + 1 = length(b))")
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -129,7 +133,7 @@ def forms(vocab: DataFrame, times: int = 2) -> DataFrame:
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m"))
     )))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    found = vocab.join(best, "word", "left")
+    found = vocab.join(best.hint("merge"), "word", "left")
     high = -F.col("best.m") >= times * F.col("n")
     return found.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(high, F.col("best.other")).alias("form"), F.when(high, -F.col("best.m")).alias("form_n")
@@ -138,11 +142,12 @@ def forms(vocab: DataFrame, times: int = 2) -> DataFrame:
 
 def roots(found: DataFrame) -> DataFrame:
     """(word, root): forms followed to the last. A form's n is at least twice the word's, so chains are short and have no
-    cycle; each round doubles the steps taken, and its table is written, so that a lost executor repeats one round."""
+    cycle; each round doubles the steps taken, and its table is written, so that a lost executor repeats one round. A written
+    table of words is several times its file in memory, so none is broadcast."""
     steps = written(found.select("word", F.coalesce("form", "word").alias("root")), "roots")
     while True:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        steps, before = written(steps.join(on, "root").select("word", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "roots"), steps
+        steps, before = written(steps.join(on.hint("merge"), "root").select("word", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "roots"), steps
         if not steps.where("moved").limit(1).count():
             return before.select("word", "root")
         steps = steps.drop("moved")
@@ -153,7 +158,7 @@ def variants(vocab: DataFrame, times: int = 2) -> DataFrame:
 
     An empty vocabulary gives an empty result; a word without near words has itself as its root; columns besides word and n are left out."""
     found = written(forms(written(vocab.select("word", "n"), "vocabulary"), times), "forms")
-    return found.join(roots(found), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return found.join(roots(found).hint("merge"), "word").select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,21 @@ def test_words_of_few_letters_are_all_met(spark):
     assert variants_of(spelling_variants.variants(vocab)) == plain_variants(words)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    # Exploded rows and written tables of words are sized far below what they hold, so Spark would broadcast them at its default.
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b") == str(10 << 20)
+    words = {format(i, "b").replace("0", "a").replace("1", "b").rjust(5, "a"): 3 + i % 40 for i in range(60)}
+    vocab = spark.createDataFrame(list(words.items()), "word string, n long")
+    assert "BroadcastHashJoin" not in plan(spelling_variants.near_pairs(vocab))
+    assert "Broadcast" not in plan(spelling_variants.variants(vocab))
+    rare = plan(spelling_variants.rare_bigrams(vocab))
+    assert rare.count("BroadcastHashJoin") == 1 and "Generate" not in rare[rare.index("BroadcastExchange") :]
+    monkeypatch.setattr(spelling_variants, "BIGRAMS", 3)
+    assert "Broadcast" not in plan(spelling_variants.rare_bigrams(vocab))
+    assert variants_of(spelling_variants.variants(vocab)) == plain_variants(words)
+
+
 def test_long_texts_are_cut_between_words():
     text = b"abc, " * 100 + b"d" * 50 + b" e"
     pieces = list(spelling_variants._pieces(text, 20))
